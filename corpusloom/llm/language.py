@@ -3,9 +3,6 @@
 The lower-cased text is cut into windows of 256 bytes, with runs of anything but letters turned into
 one blank. Filters of widths 2, 3 and 4 run over embedded bytes; the largest response of each filter
 in a window feeds a softmax. A document's prediction is the mean over all its windows.
-
-To apply the network, embeddings and filters are multiplied out into tables by byte pair, so that a
-response is a sum of one or two table rows.
 """
 
 from __future__ import annotations
@@ -20,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .common import held_out, quoted
 
-WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 24, 8
+WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 12, 8
 #: Bounds of the training sample, in documents and in windows of a language.
 MAX_TRAIN_DOCS, MAX_TRAIN_WINDOWS, MAX_TRAIN_BYTES = 1500, 3000, 64 << 20
 _OTHER = re.compile(r"[\W\d_]+")
@@ -42,36 +39,36 @@ def windows_of(data: bytes, window: int = WINDOW) -> np.ndarray:
 
 
 class ByteCnn:
-    """Embedding (256 x DIM), for each width a filter bank (width x DIM x FILTERS) with bias, and a softmax."""
+    """Embedding (256 x DIM), one bank of FILTERS for each width, and a softmax over their largest responses.
+
+    All filters look at the widest span; ``mask`` keeps a narrow filter's weights beyond its width at 0,
+    so that one matrix product gives all responses.
+    """
 
     def __init__(self, languages: list[str], seed: int = 7):
         rng = np.random.default_rng(seed)
-        self.languages = languages
-        self.p = {"E": rng.normal(0, 0.5, (256, DIM)), "V": rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(languages))), "c": np.zeros(len(languages))}
-        for w in WIDTHS:
-            self.p[f"W{w}"] = rng.normal(0, (2 / (w * DIM)) ** 0.5, (w * DIM, FILTERS))
-            self.p[f"b{w}"] = np.zeros(FILTERS)
+        self.languages, self.span, n = languages, max(WIDTHS), FILTERS * len(WIDTHS)
+        self.mask = np.concatenate([np.tile(np.arange(self.span * DIM)[:, None] < w * DIM, FILTERS) for w in WIDTHS], 1)
+        width = np.repeat(WIDTHS, FILTERS)
+        self.p = {
+            "E": rng.normal(0, 0.5, (256, DIM)), "W": rng.normal(0, 1, (self.span * DIM, n)) * (2 / (width * DIM)) ** 0.5 * self.mask,
+            "b": np.zeros(n), "V": rng.normal(0, 0.1, (n, len(languages))), "c": np.zeros(len(languages)),
+        }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
-        self.tables = None
-
-    def _forward(self, x: np.ndarray):
-        e = self.p["E"][x]  # B, L, D
-        pooled, kept = [], {}
-        for w in WIDTHS:
-            n = x.shape[1] - w + 1
-            cols = np.concatenate([e[:, j : j + n] for j in range(w)], axis=2)
-            r = cols.reshape(-1, w * DIM) @ self.p[f"W{w}"] + self.p[f"b{w}"]
-            r = r.reshape(len(x), n, FILTERS)
-            at = r.argmax(1)
-            best = np.take_along_axis(r, at[:, None], 1)[:, 0]
-            kept[w] = (at, best, cols)
-            pooled.append(np.maximum(best, 0))
-        h = np.concatenate(pooled, 1)
+
+    def _columns(self, x: np.ndarray) -> np.ndarray:
+        """Embeddings of every span: (windows, places, span * DIM)."""
+        e = np.take(self.p["E"], x, axis=0).reshape(len(x), -1)
+        step = e.itemsize
+        shape = (len(x), x.shape[1] - self.span + 1, self.span * DIM)
+        return np.ascontiguousarray(np.lib.stride_tricks.as_strided(e, shape, (e.strides[0], DIM * step, step)))
+
+    def _softmax(self, h: np.ndarray) -> np.ndarray:
         z = h @ self.p["V"] + self.p["c"]
         z = np.exp(z - z.max(1, keepdims=True))
-        return h, kept, z / z.sum(1, keepdims=True)
+        return z / z.sum(1, keepdims=True)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.004, seed: int = 11) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 5, batch: int = 64, rate: float = 0.004, seed: int = 11) -> None:
         """Adam on the cross entropy; only the place of a filter's largest response passes a gradient on."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -81,60 +78,34 @@ class ByteCnn:
             order = rng.permutation(len(x))
             for s in range(0, len(x), batch):
                 i = order[s : s + batch]
-                h, kept, q = self._forward(x[i])
-                d = q.copy()
+                cols = self._columns(x[i])
+                r = (cols.reshape(-1, cols.shape[2]) @ self.p["W"]).reshape(*cols.shape[:2], -1)
+                at = r.argmax(1)
+                best = np.take_along_axis(r, at[:, None], 1)[:, 0] + self.p["b"]
+                h = np.maximum(best, 0)
+                d = self._softmax(h)
                 d[np.arange(len(i)), y[i]] -= 1
                 d /= len(i)
-                g = {"V": h.T @ d + 1e-4 * self.p["V"], "c": d.sum(0), "E": np.zeros_like(self.p["E"])}
-                dh = d @ self.p["V"].T
-                for k, w in enumerate(WIDTHS):
-                    at, best, cols = kept[w]
-                    dr = dh[:, k * FILTERS : (k + 1) * FILTERS] * (best > 0)
-                    at_cols = np.take_along_axis(cols, at[:, :, None], 1)  # B, F, wD
-                    g[f"W{w}"] = np.einsum("bf,bfk->kf", dr, at_cols)
-                    g[f"b{w}"] = dr.sum(0)
-                    de = dr[:, :, None] * self.p[f"W{w}"].T[None]
-                    for j in range(w):
-                        np.add.at(g["E"], np.take_along_axis(x[i], at + j, 1), de[:, :, j * DIM : (j + 1) * DIM])
+                dr = d @ self.p["V"].T * (best > 0)
+                seen = np.take_along_axis(cols, at[:, :, None], 1)
+                g = {"V": h.T @ d + 1e-4 * self.p["V"], "c": d.sum(0), "b": dr.sum(0), "E": np.zeros_like(self.p["E"]),
+                     "W": np.einsum("bf,bfk->kf", dr, seen) * self.mask}
+                de = dr[:, :, None] * self.p["W"].T[None]
+                for j in range(self.span):
+                    np.add.at(g["E"], np.take_along_axis(x[i], at + j, 1), de[:, :, j * DIM : (j + 1) * DIM])
                 step += 1
                 lr = rate * (1 - epoch / epochs) * (1 - 0.999**step) ** 0.5 / (1 - 0.9**step)
                 for k in self.p:
                     m[k] += 0.1 * (g[k] - m[k])
                     v2[k] += 0.001 * (g[k] ** 2 - v2[k])
                     self.p[k] -= (lr * m[k] / (np.sqrt(v2[k]) + 1e-8)).astype(np.float32)
-        self.tables = None
-
-    def _pair_tables(self):
-        """For each width, tables whose rows, by the pair of bytes at an offset, add up to the responses."""
-        if self.tables is None:
-            self.tables = {}
-            for w in WIDTHS:
-                one = np.stack([self.p["E"] @ self.p[f"W{w}"][j * DIM : (j + 1) * DIM] for j in range(w)])  # w, 256, F
-                parts = []
-                for j in range(0, w - 1, 2):
-                    parts.append((j, (one[j][:, None] + one[j + 1][None, :]).reshape(65536, FILTERS)))
-                if w % 2:
-                    parts.append((w - 1, one[w - 1]))
-                self.tables[w] = parts
-        return self.tables
 
     def probabilities(self, x: np.ndarray, batch: int = 32) -> np.ndarray:
-        tables, out = self._pair_tables(), []
+        out = []
         for s in range(0, len(x), batch):
-            b = x[s : s + batch]
-            pairs = b[:, :-1].astype(np.int32) * 256 + b[:, 1:]
-            pooled = []
-            for w in WIDTHS:
-                n = b.shape[1] - w + 1
-                r = None
-                for j, t in tables[w]:
-                    ids = b[:, j : j + n] if len(t) == 256 else pairs[:, j : j + n]
-                    got = t[ids]
-                    r = got if r is None else np.add(r, got, out=r)
-                pooled.append(np.maximum(r.max(1) + self.p[f"b{w}"], 0))
-            z = np.concatenate(pooled, 1) @ self.p["V"] + self.p["c"]
-            z = np.exp(z - z.max(1, keepdims=True))
-            out.append(z / z.sum(1, keepdims=True))
+            cols = self._columns(x[s : s + batch])
+            r = (cols.reshape(-1, cols.shape[2]) @ self.p["W"]).reshape(*cols.shape[:2], -1)
+            out.append(self._softmax(np.maximum(r.max(1) + self.p["b"], 0)))
         return np.concatenate(out)
 
     def predict(self, text: str | None) -> tuple[str, float]:

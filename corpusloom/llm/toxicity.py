@@ -5,12 +5,13 @@ one weight vector for all thresholds t_1 <= t_2. Features are words of the whole
 of those that the labelled sample ties to toxicity. The expected severity is the sum of both
 probabilities; a document is rejected if P(grade >= 1) is at least 1/2.
 
-Labels only say toxic or not. A toxic document of the sample is severe if its share of words that
-the sample ties to toxicity is above the median of the toxic ones.
+Labels only say toxic or not. A toxic document of the sample is severe if the sum of its features is
+above the median of the toxic ones.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import alnum_words, held_out, quoted
 
 #: The labelled sample: at most so many documents of either kind, drawn by a hash of the text, and features.
-MAX_TRAIN_DOCS, MAX_FEATURES, MAX_TEXT_BYTES = 4000, 256, 1 << 20
+MAX_TRAIN_DOCS, MAX_FEATURES, MAX_TEXT_BYTES = 4000, 512, 1 << 20
 
 
 @dataclass
@@ -33,6 +34,7 @@ class OrdinalModel:
     thresholds: np.ndarray = field(default_factory=lambda: np.array([20.0, 20.0]))
 
     def vector(self, words: list[bytes]) -> dict[int, float]:
+        """log(1 + count) of each feature that stands in the document."""
         present = self.features.keys() & set(words)
         if not present:
             return {}
@@ -46,22 +48,37 @@ class OrdinalModel:
         return float(p[0]), float(p[1])
 
 
-def choose_features(toxic: list[set], clean: list[set], most: int) -> list[bytes]:
-    """Words by the z value of the log odds of standing in a toxic document; those above 4 only."""
+def choose_features(toxic: list[set], clean: list[set], most: int, least: float = 4.5) -> list[bytes]:
+    """Words that stand in toxic documents more often, by the signed root of the likelihood ratio; those from ``least`` on."""
     a, b = Counter(w for ws in toxic for w in ws), Counter(w for ws in clean for w in ws)
     na, nb = len(toxic), len(clean)
 
-    def z(w: bytes) -> float:
+    def part(x: float, n: float, p: float) -> float:
+        return (x * np.log(x / (n * p)) if x else 0.0) + ((n - x) * np.log((n - x) / (n * (1 - p))) if n > x else 0.0)
+
+    def root(w: bytes) -> float:
         x, y = a[w], b[w]
-        odds = np.log((x + 0.5) / (na - x + 0.5)) - np.log((y + 0.5) / (nb - y + 0.5))
-        return odds / np.sqrt(1 / (x + 0.5) + 1 / (na - x + 0.5) + 1 / (y + 0.5) + 1 / (nb - y + 0.5))
+        p = (x + y) / (na + nb)
+        if not 0 < p < 1 or x * nb <= y * na:
+            return 0.0
+        return float(np.sqrt(max(0.0, 2 * (part(x, na, p) + part(y, nb, p)))))
+
+    scored = sorted(((root(w), w) for w in a if a[w] >= 2), key=lambda s: (-s[0], s[1]))
+    return [w for s, w in scored if s >= least][:most]
+
 
-    scored = sorted(((z(w), w) for w in a if a[w] >= 2), key=lambda s: (-s[0], s[1]))
-    strong = [w for s, w in scored if s > 4]
-    return (strong or [w for s, w in scored[:20] if s > 1])[:most]
+def one_of_copies(rows: list[tuple[int, list[bytes]]]) -> list[tuple[int, list[bytes]]]:
+    """One document of each label and kind of text (its two words with the smallest hashes), so that copies do not count as evidence."""
+    seen, out = set(), []
+    for label, words in rows:
+        key = (label, tuple(sorted(set(words), key=lambda w: (zlib.crc32(w), w))[:2]))
+        if key not in seen:
+            seen.add(key)
+            out.append((label, words))
+    return out
 
 
-def fit_ordinal(x: np.ndarray, grades: np.ndarray, weight: np.ndarray, steps: int = 600, rate: float = 0.1, ridge: float = 1e-3):
+def fit_ordinal(x: np.ndarray, grades: np.ndarray, weight: np.ndarray, steps: int = 1500, rate: float = 0.1, ridge: float = 1e-5):
     """Adam on the negative log likelihood of the cumulative model; thresholds are a start and a positive step."""
     w, start, step = np.zeros(x.shape[1]), 0.0, 0.0
     params = np.concatenate((w, [start, step]))
@@ -103,21 +120,22 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, ma
     for toxic, n in counts.items():
         rate = F.when(F.col("toxic") == toxic, min(1.0, 0.9 * max_docs / n)).otherwise(rate)
     got = rows.join(known.where(u < rate), "doc_id").select("toxic", "text").limit(2 * max_docs).collect()
-    sets = sorted(((r.toxic, alnum_words(r.text)) for r in got), key=lambda r: (r[0], r[1][:20], len(r[1])))
+    sets = one_of_copies(sorted(((r.toxic, alnum_words(r.text)) for r in got), key=lambda r: (r[0], r[1])))
     toxic, clean = [set(w) for t, w in sets if t], [set(w) for t, w in sets if not t]
-    if not toxic:
-        return OrdinalModel()
     features = choose_features(toxic, clean, max_features)
+    if not features:
+        return OrdinalModel()
     model = OrdinalModel({w: i for i, w in enumerate(features)})
     x = np.zeros((len(sets), len(features)))
-    share = np.zeros(len(sets))
     for i, (_, words) in enumerate(sets):
         for j, value in model.vector(words).items():
             x[i, j] = value
-        share[i] = np.expm1(x[i]).sum() / max(1, len(words))
     y = np.array([t for t, _ in sets])
-    grades = np.where(y > 0, 1 + (share > np.median(share[y > 0])), 0)
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y == 0).sum()))
+    mass = x.sum(1)
+    grades = np.where(y > 0, 1 + (mass > np.median(mass[y > 0])), 0)
+    # each kind weighs as much as it does among all labels, not as in the sample
+    n = [(y == 0).sum(), (y > 0).sum()]
+    weight = np.where(y > 0, counts.get(1, 0) / max(1, n[1]), counts.get(0, 0) / max(1, n[0]))
     model.weights, model.thresholds = fit_ordinal(x, grades, weight)
     return model
 
