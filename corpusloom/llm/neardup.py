@@ -9,9 +9,9 @@
    pass if sizes and sketches allow a similarity of 0.5, and become links after a check of their full
    shingle sets.
 4. Buckets of three and more nodes that these links leave in several components are compared further,
-   in blocks of bounded size: pairs within one component are skipped, since they can change nothing;
-   all others pass through the same checks. So no link that would join components is lost, and no
-   group's pairs are all listed.
+   in blocks of bounded size that hold the full sets: a pair is looked at in the first of its common
+   buckets only, the most similar by sketch first, and not at all once its components have met. Only
+   links come out. So no link that would join components is lost, and no group's pairs are listed.
 5. Components of the links, by label spreading in written tables.
 """
 
@@ -102,20 +102,23 @@ def _signature(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["n_shingles", "node", "bands", "sketch"])
 
 
-@vectorized("node binary, shingles binary")
-def _full_set(texts: pd.Series) -> pd.DataFrame:
+@vectorized("binary")
+def _full_set(texts: pd.Series, nodes: pd.Series) -> pd.Series:
+    """The full set of a text; null for a text that is not the node's. The test stands in here, since Spark would
+    turn a filter on it into a join key and shingle every document."""
     found = [shingles(t) for t in texts]
-    return pd.DataFrame([(set_key(x), x.tobytes()) for x in found], columns=["node", "shingles"])
+    return pd.Series([x.tobytes() if set_key(x) == bytes(n) else None for x, n in zip(found, nodes)])
+
+
+def linked_sets(a: bytes, b: bytes) -> bool:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both)
 
 
 @vectorized("boolean")
 def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
-    def test(x: bytes, y: bytes) -> bool:
-        x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        return DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both)
-
-    return pd.Series([test(x, y) for x, y in zip(a, b)], dtype=bool)
+    return pd.Series([linked_sets(x, y) for x, y in zip(a, b)], dtype=bool)
 
 
 def _sizes_allow(a: str, b: str) -> Column:
@@ -126,66 +129,79 @@ def _xor_count(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(BITS // 64)), F.lit(0))
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Sets are taken from whole texts, one text a node."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, shingles) of the wanted nodes, from the whole text of one document each."""
     rep = nodes.join(wanted, "node", "left_semi").select(F.col("node").alias("want"), F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("text_key"))
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    found = texts.join(rep, (F.col("key") == F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("want", _full_set("text").alias("s"))
-    sets = written(found.where("s.node = want").groupBy(F.col("want").alias("node")).agg(F.first("s.shingles").alias("shingles")), "sets")
+    found = texts.join(rep, (F.col("key") == F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select(F.col("want").alias("node"), _full_set("text", "want").alias("shingles"))
+    return written(found.groupBy("node").agg(F.first("shingles", ignorenulls=True).alias("shingles")), "sets")
+
+
+def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    sets = _full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), nodes, docs)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
     return both.where(_linked("x", "y")).select("a", "b")
 
 
-def _block_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Candidates between nodes of different components, in rows sorted by (key, bi, bj); groups may go over batches."""
-    held: list[pd.DataFrame] = []
-
-    def compare(g: pd.DataFrame) -> pd.DataFrame | None:
-        sketch = np.stack(g["sketch"].to_numpy()).view(np.uint64)
-        size, comp, block, node, lead = (g[c].to_numpy() for c in ("n_shingles", "component", "block", "node", "leader"))
-        code = pd.factorize(pd.Series(comp))[0]
-        first, other = g["bi"].iloc[0], g["bj"].iloc[0]
-        left = np.flatnonzero((block == first) & (node != lead))
-        right = np.flatnonzero((block == other) & (node != lead))
-        out = []
-        for i in left:
-            js = right[right > i] if first == other else right
-            js = js[(code[js] != code[i]) & (DENOMINATOR * np.minimum(size[js], size[i]) >= NUMERATOR * np.maximum(size[js], size[i]))]
-            if len(js):
-                xor = np.bitwise_count(sketch[js] ^ sketch[i]).sum(1)
-                out += [(min(node[i], node[j]), max(node[i], node[j])) for j in js[xor <= MOST_XOR]]
-        return pd.DataFrame(out, columns=["a", "b"]) if out else None
-
-    def groups(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        mark = (rows[["key", "bi", "bj"]].ne(rows[["key", "bi", "bj"]].shift())).any(axis=1).to_numpy()
-        cuts = [*np.flatnonzero(mark), len(rows)]
-        for a, b in zip(cuts, cuts[1:]):
-            yield rows.iloc[a:b]
-
-    def last_key(rows: pd.DataFrame) -> tuple:
-        return tuple(rows[["key", "bi", "bj"]].iloc[-1])
-
+_UNIT = ["key", "bi", "bj"]
+
+
+def _compare(g: pd.DataFrame) -> list[tuple[bytes, bytes]]:
+    """Links between different components in one unit of work: the nodes of two blocks (or one) of a bucket."""
+    sketch = np.stack(g["sketch"].to_numpy()).view(np.uint64)
+    bands = np.stack(g["bands"].to_numpy())
+    size, block, node, lead, full = (g[c].to_numpy() for c in ("n_shingles", "block", "node", "leader", "shingles"))
+    group = pd.factorize(g["component"])[0].tolist()
+    code, first, other, band = np.array(group), g["bi"].iloc[0], g["bj"].iloc[0], g["band"].iloc[0]
+    root = list(range(max(group) + 1))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    open_ = node != lead  # every node has met the leader
+    left, right = np.flatnonzero((block == first) & open_), np.flatnonzero((block == other) & open_)
+    order: list[tuple[int, int, int]] = []
+    for i in left:
+        js = right[right > i] if first == other else right
+        js = js[(code[js] != code[i]) & (DENOMINATOR * np.minimum(size[js], size[i]) >= NUMERATOR * np.maximum(size[js], size[i]))]
+        if band and len(js):
+            js = js[~(bands[js, :band] == bands[i, :band]).any(1)]
+        if len(js):
+            xor = np.bitwise_count(sketch[js] ^ sketch[i]).sum(1)
+            near = xor <= MOST_XOR
+            order += zip(xor[near].tolist(), [int(i)] * int(near.sum()), js[near].tolist())
+    out = []
+    for _, i, j in sorted(order):
+        a, b = find(group[i]), find(group[j])
+        if a != b and linked_sets(full[i], full[j]):
+            root[a] = b
+            out.append((min(node[i], node[j]), max(node[i], node[j])))
+    return out
+
+
+def _block_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Runs ``_compare`` on every unit, in rows sorted by unit; a unit may go over batches."""
+    held = None
     for batch in batches:
-        if not len(batch):
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if not len(rows):
             continue
-        held.append(batch)
-        rows = pd.concat(held, ignore_index=True)
-        same = (rows[["key", "bi", "bj"]] == last_key(rows)).all(axis=1).to_numpy()
-        cut = len(rows) if not same.any() else int(np.argmax(same))
-        for g in groups(rows.iloc[:cut]) if cut else ():
-            if (got := compare(g)) is not None:
-                yield got
-        held = [rows.iloc[cut:]]
-    if held:
-        for g in groups(held[0].reset_index(drop=True)):
-            if (got := compare(g)) is not None:
-                yield got
+        unit = rows[_UNIT]
+        cuts = [*np.flatnonzero(unit.ne(unit.shift()).any(axis=1).to_numpy()), len(rows)]
+        links = [x for a, b in zip(cuts[:-2], cuts[1:-1]) for x in _compare(rows.iloc[a:b])]
+        held = rows.iloc[cuts[-2] :].reset_index(drop=True)
+        yield pd.DataFrame(links, columns=["a", "b"])
+    if held is not None and len(held):
+        yield pd.DataFrame(_compare(held), columns=["a", "b"])
 
 
 def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    members = nodes.select("node", F.explode("bands").alias("key"))
+    members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     buckets = written(members.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("m")).where("m > 1"), "buckets")
     in_bucket = written(members.join(buckets, "key"), "members")
     size = nodes.select("node", "n_shingles", "sketch")
@@ -196,21 +212,20 @@ def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     )
     first = written(_verify(written(pairs, "pairs"), nodes, docs), "links")
     component = components(first)
-    # buckets of three and more nodes in several components
+    # buckets whose nodes, but for the leader that all have met, are in several components
     open_rows = in_bucket.where("m > 2").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    # their nodes other than the leader, which every node has met
     still = open_rows.where("node <> leader").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    again = open_rows.join(still, "key", "left_semi").join(size, "node")
+    again = written(open_rows.where("node <> leader").join(still, "key", "left_semi"), "open")
+    sets = _full_sets(again.select("node").distinct(), nodes, docs)
     # a bucket is cut into so many blocks that a block has about BLOCK nodes; every pair of blocks is a unit of work
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     unit = (
-        again.withColumn("g", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
+        again.join(nodes.select("node", "n_shingles", "sketch", "bands").join(sets, "node"), "node")
+        .withColumn("g", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        .select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "leader", "component", "n_shingles", "sketch")
+        .select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "band", "block", "node", "leader", "component", "n_shingles", "sketch", "bands", "shingles")
     )
-    more = unit.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInPandas(_block_pairs, "a binary, b binary").distinct()
-    second = written(_verify(written(more, "pairs"), nodes, docs), "links")
-    return first.union(second)
+    more = unit.repartition(*_UNIT).sortWithinPartitions(*_UNIT).mapInPandas(_block_links, "a binary, b binary")
+    return first.union(written(more, "links"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
