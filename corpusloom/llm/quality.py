@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import quoted, uniform, written
 
-BUCKETS, PRIOR = 1 << 15, 5.0
+BUCKETS, PRIOR = 1 << 14, 50.0
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+")
 
 

@@ -2,7 +2,7 @@
 
 Records are gzip members of their own, so that a reader can start anywhere. A task owns the records
 that start inside its byte range. After a failed check (gzip CRC, version line, headers,
-Content-Length, payload digest) it searches for the next valid member or, in uncompressed files, the
+Content-Length, digests of block and payload) it searches for the next valid member or, in uncompressed files, the
 next valid version line, goes on from there, and reports the bytes between as a row of kind ``gap``.
 """
 
@@ -80,6 +80,9 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes, int]:
 
 def _row(headers: dict[str, str], block: bytes, file: str, offset: int, length: int) -> tuple:
     kind, digest, payload, size = headers["warc-type"], headers.get("warc-payload-digest"), None, None
+    whole = headers.get("warc-block-digest")
+    if whole and whole.lower().startswith("sha1:") and whole[5:].upper() != base32_sha1(block):
+        raise Damaged("block digest differs")
     if kind in ("response", "resource"):
         payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else block
         found, size = base32_sha1(payload), len(payload)
@@ -251,14 +254,13 @@ class _WarcWriter(DataSourceArrowWriter):
                 uri = (x["target_uri"] or "").replace("\r", "%0D").replace("\n", "%0A")
                 headers = [("WARC-Type", "revisit" if x["refers_to"] else "response"), ("WARC-Record-ID", x["record_id"]),
                            ("WARC-Date", "1970-01-01T00:00:00Z"), ("WARC-Payload-Digest", f"sha1:{digest}")]
+                block = b"" if x["refers_to"] else HTTP_HEAD % x["payload_bytes"] + (x["payload"] or b"")
+                headers.append(("WARC-Block-Digest", f"sha1:{base32_sha1(block)}"))
                 if uri:
                     headers.append(("WARC-Target-URI", uri))
                 if x["refers_to"]:
                     headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
                                 ("WARC-Refers-To", x["refers_to"]), ("X-Payload-Length", str(x["payload_bytes"]))]
-                    block = b""
-                else:
-                    block = HTTP_HEAD % x["payload_bytes"] + (x["payload"] or b"")
                 out.write(member(record(headers, block)))
                 if out.tell() >= self.file_bytes:
                     close()
