@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .classes import NUMBER
-from .text import text_of
+from .text import let, text_of
 
 EMPTY = "cast(array() as array<string>)"
 
@@ -38,11 +38,9 @@ def number_parts(c: Column) -> Column:
 
 
 def known_numbers(source: Column) -> Column:
-    n = numbers_in(source)
-    return F.array_distinct(F.concat(F.transform(n, canonical_number), F.flatten(F.transform(n, number_parts))))
+    return let(numbers_in(source), lambda n: F.array_distinct(F.concat(F.transform(n, canonical_number), F.flatten(F.transform(n, number_parts)))))
 
 
 def unsupported_numbers(text: Column, source: Column) -> Column:
     """Numbers of the text, in order and each once, that the source does not vouch for."""
-    known = known_numbers(source)
-    return F.filter(F.array_distinct(numbers_in(text)), lambda n: ~F.array_contains(known, canonical_number(n)))
+    return let(known_numbers(source), lambda known: F.filter(F.array_distinct(numbers_in(text)), lambda n: ~F.array_contains(known, canonical_number(n))))

@@ -110,8 +110,12 @@ def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Rank correlation of scores with few different values; null for fewer than two pairs or a constant side."""
     both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
     ranked = with_average_rank(with_average_rank(both, a, "__ra"), b, "__rb")
-    varied = (F.count("*") >= 2) & (F.max("__ra") > F.min("__ra")) & (F.max("__rb") > F.min("__rb"))
-    return ranked.agg(F.count("*").alias("n"), F.round(F.when(varied, F.corr("__ra", "__rb")), 6).alias("spearman"))
+    return ranked.agg(F.count("*").alias("n"), F.round(pearson("__ra", "__rb"), 6).alias("spearman"))
+
+
+def pearson(a: str | Column, b: str | Column) -> Column:
+    """Correlation; null if a side is constant, where ``corr`` would fail."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
 
 
 def agreement(rows: DataFrame, human: str, judge: str) -> DataFrame:

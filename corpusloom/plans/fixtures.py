@@ -25,9 +25,8 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
     """
     d = documents(spark, sf).withColumn("s", text.sentences(F.col("text"))).where(F.size("s") >= 3)
     longest = F.element_at(F.array_sort(F.transform("s", lambda x, i: F.struct((-F.char_length(x)).alias("n"), i.alias("i"), x.alias("x")))), 1)["x"]
-    picks = F.array(
-        F.struct(F.lit("lead1").alias("system"), F.element_at("s", 1).alias("prediction")), F.struct(F.lit("lead3"), F.array_join(F.slice("s", 1, 3), " ")),
-        F.struct(F.lit("tail2"), F.array_join(F.slice("s", -2, 2), " ")), F.struct(F.lit("long1"), longest))
+    systems = {"lead1": F.element_at("s", 1), "lead3": F.array_join(F.slice("s", 1, 3), " "), "tail2": F.array_join(F.slice("s", -2, 2), " "), "long1": longest}
+    picks = F.array(*[F.struct(F.lit(k).alias("system"), v.alias("prediction")) for k, v in systems.items()])
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("l_id"), (1 + 2 * F.col("quality") + 2 * (1 - F.col("toxic"))).alias("faithfulness"))
     draw = text.hash_draw(F.concat(F.lit("human:"), F.col("doc_id").cast("string")))
     return d.join(labels, F.col("doc_id") == F.col("l_id"), "left").select(

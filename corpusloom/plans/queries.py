@@ -551,10 +551,12 @@ e AS (SELECT id, n, unnest(p2) AS gram, d2 FROM g)
 SELECT id, count(*) AS n_grams, {r6('avg((list_position(d2, gram) - 1) / greatest(n - 2, 1)::DOUBLE)')} AS mean_position FROM e WHERE list_contains(d2, gram) GROUP BY id""")
 def first_bigram_position(spark, sf):
     s = fx.samples(spark, sf).where("system = 'tail2'")
-    d = text.syllables(F.col("document"))
-    e = s.select("id", F.size(d).alias("n"), text.ngrams(d, 2).alias("d2"), F.explode(F.array_distinct(text.ngrams(text.syllables(F.col("prediction")), 2))).alias("gram"))
-    at = F.array_position("d2", F.col("gram"))
-    return e.where(at > 0).groupBy("id").agg(F.count("*").alias("n_grams"), F.round(F.avg((at - 1) / F.greatest(F.col("n") - 2, F.lit(1))), 6).alias("mean_position"))
+    words = text.syllables(F.col("document"))
+    grams = F.array_distinct(text.ngrams(text.syllables(F.col("prediction")), 2))
+    at = text.let(text.ngrams(words, 2), lambda d: F.filter(F.transform(grams, lambda g: F.array_position(d, g)), lambda i: i > 0))
+    rows = s.select("id", F.greatest(F.size(words) - 2, F.lit(1)).alias("n"), at.alias("at")).where(F.size("at") > 0)
+    mean = F.aggregate("at", F.lit(0.0), lambda t, i: t + (i - 1) / F.col("n")) / F.size("at")
+    return rows.select("id", F.size("at").cast("bigint").alias("n_grams"), F.round(mean, 6).alias("mean_position"))
 
 
 @query("""
@@ -593,7 +595,7 @@ def pivot_counts_cube(spark, sf):
 
 @query("SELECT l_returnflag, count_if(l_linestatus = 'F') AS F, count_if(l_linestatus = 'O') AS O FROM lineitem GROUP BY l_returnflag")
 def pivot_status(spark, sf):
-    return table(spark, sf, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.count("*")).na.fill(0)
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 @query("""
@@ -612,7 +614,7 @@ def corr_length_score(spark, sf):
     s = _scored(spark, sf).select("id", "system", "length_syllables", "rouge1")
     a, b = s.where("system = 'lead3'").alias("a"), s.where("system = 'lead1'").alias("b")
     gain = F.col("a.rouge1") - F.col("b.rouge1")
-    return a.join(b, F.col("a.id") == F.col("b.id")).agg(F.round(F.corr((F.col("a.length_syllables") - F.col("b.length_syllables")).cast("double"), gain), 6).alias("r"), F.round(F.avg((gain > 0).cast("double")), 6).alias("win_rate"))
+    return a.join(b, F.col("a.id") == F.col("b.id")).agg(F.round(ev.pearson((F.col("a.length_syllables") - F.col("b.length_syllables")).cast("double"), gain), 6).alias("r"), F.round(F.avg((gain > 0).cast("double")), 6).alias("win_rate"))
 
 
 @query("WITH w AS (SELECT o_custkey FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 50) SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM w)")
