@@ -13,8 +13,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a scan with fewer partitions than cores (one small file) over all of them; larger scans stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,16 +29,19 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
     The reference summary is sentences 2 and 3; systems are simple picks of sentences. Documents with fewer
     than three sentences are left out.
     """
-    d = documents(spark, sf).withColumn("s", text.sentences(F.col("text"))).where(F.size("s") >= 3)
-    longest = F.element_at(F.array_sort(F.transform("s", lambda x, i: F.struct((-F.char_length(x)).alias("n"), i.alias("i"), x.alias("x")))), 1)["x"]
-    systems = {"lead1": F.element_at("s", 1), "lead3": F.array_join(F.slice("s", 1, 3), " "), "tail2": F.array_join(F.slice("s", -2, 2), " "), "long1": longest}
-    picks = F.array(*[F.struct(F.lit(k).alias("system"), v.alias("prediction")) for k, v in systems.items()])
+    def picked(s):
+        longest = F.element_at(F.array_sort(F.transform(s, lambda x, i: F.struct((-F.char_length(x)).alias("n"), i.alias("i"), x.alias("x")))), 1)["x"]
+        systems = {"lead1": F.element_at(s, 1), "lead3": F.array_join(F.slice(s, 1, 3), " "), "tail2": F.array_join(F.slice(s, -2, 2), " "), "long1": longest}
+        picks = F.array(*[F.struct(F.lit(k).alias("system"), v.alias("prediction")) for k, v in systems.items()])
+        return F.when(F.size(s) >= 3, F.struct(F.array_join(F.slice(s, 2, 2), " ").alias("summary"), picks.alias("picks")))
+
+    d = documents(spark, sf).withColumn("x", text.let(text.sentences(F.col("text")), picked)).where("x is not null")
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("l_id"), (1 + 2 * F.col("quality") + 2 * (1 - F.col("toxic"))).alias("faithfulness"))
     draw = text.hash_draw(F.concat(F.lit("human:"), F.col("doc_id").cast("string")))
     return d.join(labels, F.col("doc_id") == F.col("l_id"), "left").select(
         "doc_id", F.col("lang").alias("dataset"), (text.token_count(F.col("text")) > 1024).alias("is_long"), F.col("text").alias("document"),
-        F.array_join(F.slice("s", 2, 2), " ").alias("summary"), "faithfulness", F.when(F.col("faithfulness").isNotNull(), 1 + F.floor(draw * 5).cast("int")).alias("human"),
-        F.col("source").alias("cluster"), F.col("lang").alias("stratum"), F.inline(picks)).withColumnRenamed("doc_id", "id")
+        F.col("x.summary").alias("summary"), "faithfulness", F.when(F.col("faithfulness").isNotNull(), 1 + F.floor(draw * 5).cast("int")).alias("human"),
+        F.col("source").alias("cluster"), F.col("lang").alias("stratum"), F.inline("x.picks")).withColumnRenamed("doc_id", "id")
 
 
 def split_records(spark: SparkSession, sf: str) -> DataFrame:
