@@ -93,6 +93,11 @@ def uniform(*columns: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*columns), 12).cast("double") + 0.5) / float(1 << 52)
 
 
+def draw(text: Column) -> Column:
+    """A number in [0, 1) from the first 52 bits of a text's MD5 sum, which SQL elsewhere can repeat."""
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") / float(1 << 52)
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of an edge list ``(a long, b long)``: rows ``(node, component)``.
 

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import uniform, written
+from .common import draw, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Schedules that sources take in turn, by code point: knots (t, weight). Their integrals are 5, 2 and 1.
@@ -102,13 +102,12 @@ def mix(docs: DataFrame, schedules=SCHEDULES, share: float = SHARE, most: float
     taken up to that word. ``passes`` counts the whole passes, ``extra`` the words of the partial one,
     ``position`` is the training position in [0, 1] of the document's first word (null if nothing is
     taken). Null texts have size 0 and are never taken; null sources form a source of their own, the
-    last one. Rows with the same id, source and size are ordered by their text; where that is equal
-    too, either may come first, which no column shows but which of two equal rows is taken.
+    last one. The order inside a source is the hash of id and text; where both are equal, either row may
+    come first, which no column shows but which of two equal rows is taken.
     """
-    text_key = F.xxhash64("text")
     sized = docs.select(
         "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
-        text_key.alias("key"), uniform(F.col("doc_id"), text_key).alias("order"),
+        draw(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.md5("text"), F.lit("")))).alias("order"),
     ).withColumn("slice", F.floor(F.col("order") * slices).cast("int"))
     sized = written(sized, "sized")
     plan = plan_sources(sized, schedules, share, most)
@@ -116,7 +115,7 @@ def mix(docs: DataFrame, schedules=SCHEDULES, share: float = SHARE, most: float
         "before", F.coalesce(F.sum("n").over(W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ).drop("n")
     offsets = before.alias("b").join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source"))).select("b.source", "slice", "before", "source_size", "schedule", "target")
-    inside = W.partitionBy("source", "slice").orderBy("order", "doc_id", "key").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "slice").orderBy("order", "doc_id").rowsBetween(W.unboundedPreceding, -1)
     rows = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("d").join(
         offsets.alias("o"), F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d.slice") == F.col("o.slice"))
     ).select("doc_id", "d.source", "size", "source_size", "schedule", "target", (F.col("inside") + F.col("before")).alias("start"))

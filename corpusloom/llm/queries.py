@@ -27,7 +27,7 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
-    return mixing.training_order(mixed).select("doc_id", "size", "source_size", "target", "taken", "source", "passes", "extra", "position")
+    return mixing.training_order(mixed).select("doc_id", "size", "source_size", "target", "taken", "source", "passes", "extra", F.round("position", 6).alias("position"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,5 +115,36 @@ SELECT page_id, host, path, rule,
     CASE WHEN rule IS NULL THEN any_word END AS pattern
 FROM listed LEFT JOIN words USING (page_id)""",
 }
-ORACLES["op3_mix"] = None
-ORACLES = {k: v for k, v in ORACLES.items() if v}
+
+
+def _sql_inverse(knots) -> str:
+    """``mixing.inverse`` of ``q`` in SQL."""
+    total, done, pieces = mixing.integral(knots), 0.0, []
+    for (t0, w0), (t1, w1) in zip(knots, knots[1:]):
+        area, slope = (t1 - t0) * (w0 + w1) / 2, (w1 - w0) / (t1 - t0)
+        rest = f"greatest(0::DOUBLE, least({area}::DOUBLE, q * {total}::DOUBLE - {done}::DOUBLE))"
+        x = f"2 * {rest} / ({w0}::DOUBLE + sqrt(greatest(0::DOUBLE, {w0 * w0}::DOUBLE + 2 * ({slope}::DOUBLE) * {rest})))"
+        done += area
+        pieces.append(f"WHEN q * {total}::DOUBLE <= {done}::DOUBLE THEN {t0}::DOUBLE + CASE WHEN {rest} > 0 THEN {x} ELSE 0 END")
+    pieces[-1] = "WHEN true THEN " + pieces[-1].split(" THEN ", 1)[1]
+    return f"CASE {' '.join(pieces)} END"
+
+
+_POSITION = " ".join(f"WHEN {i} THEN {_sql_inverse(k)}" for i, k in enumerate(mixing.SCHEDULES))
+ORACLES["op3_mix"] = rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(md5(text), '')), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS o FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS schedule FROM d GROUP BY source),
+w AS (SELECT *, [5::DOUBLE, 2::DOUBLE, 1::DOUBLE][schedule + 1] AS weight, 2::DOUBLE * source_size AS most FROM s),
+c AS (SELECT *, most / weight AS stops, row_number() OVER (ORDER BY most / weight, source) AS k,
+    (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY most / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+l AS (SELECT arg_min(level, k) AS level FROM c WHERE level < stops),
+t AS (SELECT c.source, source_size, schedule, coalesce(least(most, weight * l.level), most) AS target FROM c, l),
+r AS (SELECT doc_id, d.source, size, source_size, schedule, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS passes, start / greatest(target, 1) AS q FROM r),
+e AS (SELECT *, greatest(0, least(size, floor(target)::BIGINT - passes * source_size - start)) AS extra FROM p)
+SELECT doc_id, size, source_size, target, (passes * size + extra)::BIGINT AS taken, source, passes::BIGINT AS passes, extra::BIGINT AS extra,
+    round(CASE WHEN passes * size + extra > 0 THEN CASE schedule {_POSITION} END END, 6) AS position
+FROM e"""
