@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import quoted, uniform, written
 
 BUCKETS, PRIOR = 1 << 14, 50.0
+#: The target's model is fitted on at most so many documents labelled good, drawn by a hash of the id.
+MAX_TARGET_DOCS = 1 << 15
 _TOKEN = re.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+")
 
 
@@ -63,14 +65,18 @@ class Model:
         return float(self.ratios[got].sum())
 
 
-def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> Model:
-    """Counts cover all documents and all labels. The target's model has a prior of ``prior`` counts a
-    bucket that is centred on the raw model, so that a bucket nobody has seen weighs 0. The driver
-    gets one row a bucket. Without documents or labelled good ones all ratios are 0."""
+def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, max_target_docs: int = MAX_TARGET_DOCS) -> Model:
+    """Raw counts cover all documents, the share all labels. The target's counts cover the documents labelled
+    good, of which a hash draws at most ``max_target_docs``: their ids are broadcast, so that no text is
+    shuffled. The target's model has a prior of ``prior`` counts a bucket that is centred on the raw model, so
+    that a bucket nobody has seen weighs 0. The driver gets one row a bucket. Without documents or labelled
+    good ones all ratios are 0."""
     # labels: one row a document; if several, it is good if any says so
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = good.agg(F.count("quality").alias("n"), F.sum("quality").alias("good")).first()
-    texts = docs.select("doc_id", "text").join(good.where("quality = 1").select("doc_id"), "doc_id", "left_semi").select("text", F.lit(True).alias("target"))
+    rate = min(1.0, 0.9 * max_target_docs / max(known.good or 0, 1))
+    drawn = good.where((F.col("quality") == 1) & (uniform(F.col("doc_id"), F.lit(5)) < rate)).select("doc_id").limit(max_target_docs)
+    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id", "left_semi").select("text", F.lit(True).alias("target"))
     rows = count_ngrams(docs.select("text", F.lit(False).alias("target")), buckets).select("bucket", "raw", F.lit(0).cast("long").alias("target")).unionByName(
         count_ngrams(texts, buckets).select("bucket", F.lit(0).cast("long").alias("raw"), "target")).groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     got = rows.toPandas()
