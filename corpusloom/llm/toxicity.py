@@ -119,7 +119,8 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, ma
     rate = F.lit(0.0)
     for toxic, n in counts.items():
         rate = F.when(F.col("toxic") == toxic, min(1.0, 0.9 * max_docs / n)).otherwise(rate)
-    got = rows.join(known.where(u < rate), "doc_id").select("toxic", "text").limit(2 * max_docs).collect()
+    drawn = known.where(u < rate).limit(2 * max_docs)  # bounded, so it is broadcast and no text is shuffled
+    got = rows.join(F.broadcast(drawn), "doc_id").select("toxic", "text").limit(2 * max_docs).collect()
     sets = one_of_copies(sorted(((r.toxic, alnum_words(r.text)) for r in got), key=lambda r: (r[0], r[1])))
     toxic, clean = [set(w) for t, w in sets if t], [set(w) for t, w in sets if not t]
     features = choose_features(toxic, clean, max_features)
