@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.classes import NOT_SPACE, SPACE, WORD
+from ..functions.classes import ABBREVIATIONS, NOT_SPACE, SPACE, WORD
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -33,15 +33,15 @@ def samples(spark: SparkSession, sf: str) -> DataFrame:
         longest = F.element_at(F.array_sort(F.transform(s, lambda x, i: F.struct((-F.char_length(x)).alias("n"), i.alias("i"), x.alias("x")))), 1)["x"]
         systems = {"lead1": F.element_at(s, 1), "lead3": F.array_join(F.slice(s, 1, 3), " "), "tail2": F.array_join(F.slice(s, -2, 2), " "), "long1": longest}
         picks = F.array(*[F.struct(F.lit(k).alias("system"), v.alias("prediction")) for k, v in systems.items()])
-        return F.when(F.size(s) >= 3, F.struct(F.array_join(F.slice(s, 2, 2), " ").alias("summary"), picks.alias("picks")))
+        return F.when(F.size(s) >= 3, F.struct(F.array_join(F.slice(s, 2, 2), " ").alias("summary"), (text.token_count(F.col("text")) > 1024).alias("is_long"), picks.alias("picks")))
 
-    d = documents(spark, sf).withColumn("x", text.let(text.sentences(F.col("text")), picked)).where("x is not null")
+    d = documents(spark, sf).withColumn("x", text.let(text.sentences(F.col("text")), picked))
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("l_id"), (1 + 2 * F.col("quality") + 2 * (1 - F.col("toxic"))).alias("faithfulness"))
     draw = text.hash_draw(F.concat(F.lit("human:"), F.col("doc_id").cast("string")))
     return d.join(labels, F.col("doc_id") == F.col("l_id"), "left").select(
-        "doc_id", F.col("lang").alias("dataset"), (text.token_count(F.col("text")) > 1024).alias("is_long"), F.col("text").alias("document"),
+        "doc_id", F.col("lang").alias("dataset"), "x.is_long", F.col("text").alias("document"),
         F.col("x.summary").alias("summary"), "faithfulness", F.when(F.col("faithfulness").isNotNull(), 1 + F.floor(draw * 5).cast("int")).alias("human"),
-        F.col("source").alias("cluster"), F.col("lang").alias("stratum"), F.inline("x.picks")).withColumnRenamed("doc_id", "id")
+        F.col("source").alias("cluster"), F.col("lang").alias("stratum"), F.inline_outer("x.picks")).where("system is not null").withColumnRenamed("doc_id", "id")  # a filter below would split sentences twice
 
 
 def split_records(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,13 +61,19 @@ def calls(spark: SparkSession, sf: str) -> DataFrame:
 
 # the same in DuckDB's SQL
 
+ABBREVIATION = (
+    r"(^|[\s\"'“‘(\[.])((?" + "{flags}" + ":" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")|\p{Lu})\.([\"'”’)\]]*"
+    + SPACE + ")"
+)
+
+
 def sql_trim(x: str) -> str:
     return f"regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g')"
 
 
 def sql_sentences(x: str) -> str:
     quote = "''"
-    pattern = text.ABBREVIATION.replace("{flags}", "i").replace("'", quote)
+    pattern = ABBREVIATION.replace("{flags}", "i").replace("'", quote)
     boundary = text.BOUNDARY.replace("'", quote)
     out = f"coalesce({x}, '')"
     for _ in range(2):
