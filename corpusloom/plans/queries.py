@@ -186,13 +186,13 @@ score AS (SELECT doc_id, pos, sent, n, CASE WHEN n = 1 THEN 1.0::DOUBLE ELSE coa
 @query(f"WITH {_BM25} SELECT doc_id, pos::INT AS pos, round(score, 4) AS score FROM score")
 def bm25_centrality(spark, sf):
     s = documents(spark, sf).select("doc_id", arrow.bm25_centrality(text.sentences(F.col("text"))).alias("x"))
-    return s.select("doc_id", F.posexplode("x").alias("pos", "x")).select("doc_id", "pos", F.round("x", 4).alias("score"))
+    return s.select("doc_id", F.posexplode_outer("x").alias("pos", "x")).where("pos is not null").select("doc_id", "pos", F.round("x", 4).alias("score"))
 
 
 @query()
 def lexrank_centrality(spark, sf):
     s = documents(spark, sf).select("doc_id", arrow.lexrank(text.sentences(F.col("text"))).alias("x"))
-    return s.select("doc_id", F.posexplode("x").alias("pos", "x")).select("doc_id", "pos", F.round("x", 6).alias("score"))
+    return s.select("doc_id", F.posexplode_outer("x").alias("pos", "x")).where("pos is not null").select("doc_id", "pos", F.round("x", 6).alias("score"))
 
 
 @query()
