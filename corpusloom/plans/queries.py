@@ -12,6 +12,7 @@ from ..functions import arrow, judge, numbers, text
 from ..operators import caches, prepare
 from ..operators import evaluate as ev
 from ..operators import latency as lat
+from ..operators import runs
 from . import fixtures as fx
 from .fixtures import CALLS, SAMPLES, documents, sql_draw, sql_ngrams, sql_rouge, sql_sentences, sql_syllables, sql_tokens, sql_trim, table
 
@@ -679,3 +680,103 @@ def processed_corpus(spark, sf):
 
     rows = fx.split_records(spark, sf).withColumn("dataset", F.lit("docs"))
     return prepare_corpus(rows, normalize={"style": None}).select("id", "split", "document_tokens", "summary_tokens", "input_tokens", "num_sentences", "was_filtered", "was_truncated")
+
+
+# whole runs
+
+_REF_GRAMS = f"""w AS (SELECT {sql_syllables('summary')} AS p, {sql_syllables('document')} AS d FROM samples WHERE system = 'lead1'),
+g AS (SELECT len(p) AS n, list_distinct(p) AS p1, d AS d1, CASE WHEN len(p) >= 3 THEN {sql_ngrams('p', 3)} ELSE [] END AS p3,
+    CASE WHEN len(p) >= 2 THEN list_distinct({sql_ngrams('p', 2)}) ELSE [] END AS p2, CASE WHEN len(d) >= 2 THEN {sql_ngrams('d', 2)} ELSE [] END AS d2 FROM w)"""
+
+
+@query(f"""
+WITH {SAMPLES}, {_REF_GRAMS}
+SELECT count(*) AS n, {r6('avg(n)')} AS length_syllables, {r6('avg(CASE WHEN len(p3) > 0 THEN 100.0::DOUBLE * (len(p3) - len(list_distinct(p3))) / len(p3) ELSE 0.0::DOUBLE END)')} AS repetition_3gram,
+    {r6('avg(CASE WHEN len(p1) > 0 THEN 100.0::DOUBLE * (len(p1) - len(list_intersect(p1, list_distinct(d1)))) / len(p1) ELSE 0.0::DOUBLE END)')} AS novel_1gram,
+    {r6('avg(CASE WHEN len(p2) > 0 THEN 100.0::DOUBLE * (len(p2) - len(list_intersect(p2, list_distinct(d2)))) / len(p2) ELSE 0.0::DOUBLE END)')} AS novel_2gram FROM g""")
+def reference_metrics(spark, sf):
+    return runs.reference_metrics(fx.samples(spark, sf).where("system = 'lead1'"))
+
+
+@query(f"WITH {_SCORED} SELECT count(*) AS n, round(coalesce(avg(rouge1), 0), 2) AS rouge1, round(coalesce(avg(length_syllables), 0), 2) AS length_syllables FROM scored")
+def corpus_rouge(spark, sf):
+    return runs.corpus_means(_scored(spark, sf), ["rouge1", "length_syllables"])
+
+
+@query(f"""
+WITH {SAMPLES}, flat AS (SELECT system, 'human' AS metric, human::DOUBLE AS x FROM samples UNION ALL SELECT system, 'faithfulness', faithfulness::DOUBLE FROM samples)
+SELECT system, metric, count(x) AS n, {r6('avg(x)')} AS mean FROM flat WHERE x IS NOT NULL GROUP BY ALL""")
+def human_means(spark, sf):
+    return runs.human_means(fx.samples(spark, sf), ["human", "faithfulness"], "lead1")[0]
+
+
+@query(f"""
+WITH {_RAW}, p AS ({ORACLES['judge_parse']}), m AS (SELECT 's' || doc_id % 3 AS system, error IS NULL AS ok, regexp_extract(raw, '{judge.FIRST_SCORE}', 1) <> '' AS found FROM raw JOIN p USING (doc_id))
+SELECT system, count(*) AS n, count_if(ok) AS parsed, count_if(NOT ok AND found) AS recovered, count_if(NOT ok AND NOT found) AS lost FROM m GROUP BY system""")
+def recovered_by_system(spark, sf):
+    return runs.recovered_by_system(_raw(spark, sf).withColumn("system", F.concat(F.lit("s"), F.col("doc_id") % 3)))
+
+
+@query(f"""
+WITH {_SCORED}, d AS (SELECT 'rouge1' AS metric, abs(round(rouge1, 3) - rouge1) AS diff FROM scored UNION ALL SELECT 'length_syllables', 0.0::DOUBLE FROM scored)
+SELECT metric, count(*) AS n, round(max(diff), 9) AS max_diff, bool_and(diff < 0.000001) AS ok FROM d GROUP BY metric""")
+def stored_consistency(spark, sf):
+    scored = _scored(spark, sf).select("system", "id", "rouge1", "length_syllables")
+    return runs.consistency(scored.withColumn("rouge1", F.round("rouge1", 3)), scored, ["system", "id"], ["rouge1", "length_syllables"])
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, len({sql_tokens('text')}) > 256 AS is_long FROM documents)
+SELECT doc_id, is_long FROM d QUALIFY row_number() OVER (PARTITION BY is_long ORDER BY md5('42:' || doc_id::VARCHAR), doc_id) <= CASE WHEN is_long THEN 20 ELSE 21 END""")
+def stratified_sample(spark, sf):
+    rows = documents(spark, sf).select("doc_id", (text.token_count(F.col("text")) > 256).alias("is_long"))
+    return runs.stratified_sample(rows, 41, key="doc_id")
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id::VARCHAR), doc_id LIMIT 100")
+def shuffled_cap(spark, sf):
+    return runs.shuffled(table(spark, sf, "documents").select("doc_id"), "doc_id", 100)
+
+
+_EDGE = r"[.,;:!?\"''()-]"
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {sql_tokens('text')} AS w FROM documents),
+c AS (SELECT doc_id, t, w, len(regexp_extract_all(t, '\\p{{L}}')) AS letters, len(regexp_extract_all(lower(t), '[{text.VIETNAMESE}]')) AS marked,
+    len(list_filter(w, lambda x: length(regexp_replace(x, '^{_EDGE}+|{_EDGE}+$', '', 'g')) <= 1)) AS bare, CASE WHEN len(w) >= 3 THEN {sql_ngrams('w', 3)} ELSE [] END AS g FROM w)
+SELECT doc_id, concat_ws(',', CASE WHEN len(w) < 5 THEN 'too_short' END, CASE WHEN letters > 0 AND marked < 0.05 * letters THEN 'no_diacritics' END,
+    CASE WHEN contains(t, '�') OR contains(t, '<unk>') OR contains(t, '<pad>') THEN 'bad_token' END, CASE WHEN bare > 0.4 * len(w) THEN 'single_characters' END,
+    CASE WHEN len(w) >= 6 AND len(list_distinct(g)) < 0.5 * len(g) THEN 'repetitive' END) AS problems FROM c""")
+def output_problems(spark, sf):
+    return documents(spark, sf).select("doc_id", F.array_join(text.output_problems(F.col("text")), ",").alias("problems"))
+
+
+@query(f"WITH {CALLS} SELECT strategy, count(*) AS n, quantile_cont(latency_ms, 0.5) < 60 AS p50_ok, quantile_cont(latency_ms, 0.95) < 60 AS p95_ok FROM calls GROUP BY strategy")
+def target_attainment(spark, sf):
+    return runs.attainment(fx.calls(spark, sf), ["strategy"], 60.0)
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, len({sql_tokens('text')}) AS n FROM documents), s AS (SELECT *, CASE WHEN n <= 300 THEN 'direct' WHEN n <= 600 THEN 'extractive' ELSE 'hierarchical' END AS strategy, ceil(n / 512.0)::BIGINT AS k FROM d),
+c AS (SELECT *, unnest([0, 1, 2]) AS pos, unnest(['short', 'medium', 'long']) AS length FROM s)
+SELECT strategy, length, pos, count(*) AS n, sum(CASE WHEN strategy <> 'hierarchical' THEN 1 WHEN pos = 0 THEN k ELSE 0 END)::BIGINT AS generate_calls, count_if(strategy = 'hierarchical' AND pos > 0) AS hits FROM c GROUP BY ALL""")
+def user_flow(spark, sf):
+    docs = documents(spark, sf).select("doc_id", text.token_count(F.col("text")).alias("n"))
+    rows = docs.select("doc_id", prepare.desired_strategy(F.col("n"), 300, "auto", 600).alias("strategy"), F.ceil(F.col("n") / 512).alias("n_chunks"))
+    return runs.user_flow(rows).groupBy("strategy", "length", F.col("order").alias("pos")).agg(
+        F.count("*").alias("n"), F.sum("generate_calls").cast("bigint").alias("generate_calls"), F.count_if("chunk_cache_hit").alias("hits"))
+
+
+_PROMPT = "Document: {document} Summary: {summary}"
+
+
+@query("""
+WITH r AS (SELECT doc_id AS id, sha1(concat_ws(chr(31), 'model', 'v1', 'copy', doc_id::VARCHAR, 'Document: ' || substr(coalesce(text, ''), 1, 30000) || ' Summary: ' || coalesce(source, ''))) AS key,
+    length(coalesce(text, '')) > 30000 AS document_truncated FROM documents)
+SELECT * FROM r WHERE NOT (id % 3 = 0 AND id % 2 <> 0)""")
+def judge_missing(spark, sf):
+    rows = documents(spark, sf).select(F.lit("copy").alias("system"), F.col("doc_id").alias("id"), F.col("text").alias("document"), F.col("source").alias("prediction"))
+    asked = runs.judge_requests(rows, _PROMPT, "model", "v1").select("id", "key", "document_truncated")
+    cache = asked.where("id % 3 = 0").select("key", F.when(F.col("id") % 2 == 0, "bad_json").alias("error"))
+    return runs.judge_missing(asked, cache).select("id", "key", "document_truncated")

@@ -8,6 +8,7 @@ from pathlib import PurePosixPath
 
 import pyspark
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash
@@ -95,3 +96,25 @@ def qualitative_report(rows: DataFrame, k: int = 5, max_chars: int = 700) -> str
     best = short.orderBy(F.desc_nulls_last("faithfulness"), F.desc("rougeL"), "id").limit(k)
     worst = short.orderBy(F.asc_nulls_last("faithfulness"), "rougeL", "id").limit(k)
     return "\n\n".join(["## Best", markdown_table(best, ["id"]), "## Worst", markdown_table(worst, ["id"])]) + "\n"
+
+
+def latency_report(summary: DataFrame, buckets: DataFrame, title: str = "Latency") -> str:
+    """``operators.latency.latency_summary`` by its first column, and ``latency_by_bucket``."""
+    return "\n\n".join([f"# {title}", markdown_table(summary, [summary.columns[0]]), "## By input size", markdown_table(buckets.orderBy("position"), ["position"])]) + "\n"
+
+
+def tuning_report(scores: DataFrame, best: DataFrame, metric: str = "rougeL", title: str = "Tuning") -> str:
+    """Candidates from the best down, and the one that is picked."""
+    picked = best.select("candidate").first()
+    table = markdown_table(scores.withColumn("picked", F.col("candidate") == (picked[0] if picked else None)).withColumn("rank", F.row_number().over(W.orderBy(F.desc(metric), "candidate"))), ["rank"])
+    return "\n\n".join([f"# {title}", f"Picked: {picked[0] if picked else 'none'}", table]) + "\n"
+
+
+def flow_report(rollup: DataFrame, identical: DataFrame | None = None, title: str = "User flow") -> str:
+    """Calls, documents and numbers of chunks of ``operators.latency.flow_rollup``, and the share of equal outputs."""
+    parts = [f"# {title}"]
+    for level in ("call", "document", "chunks"):
+        parts += [f"## By {level}", markdown_table(rollup.where(F.col("level") == level).drop("level"), ["part"])]
+    if identical is not None:
+        parts += ["## Equal outputs", markdown_table(identical, ["n"])]
+    return "\n\n".join(parts) + "\n"
