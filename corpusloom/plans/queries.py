@@ -230,7 +230,7 @@ def near_dup_sentences(spark, sf):
 
 @query()
 def reduce_concat(spark, sf):
-    d = documents(spark, sf).select("doc_id", F.col("text").alias("source"), F.slice(text.sentences(F.col("text")), 1, 12).alias("parts"))
+    d = documents(spark, sf).select("doc_id", F.col("text").alias("source"), text.sentences(F.col("text")).alias("parts"))
     return d.select("doc_id", arrow.reduce_parts(F.col("parts"), F.col("source"), 60, 0.6, "drop").alias("r")).select("doc_id", "r.*")
 
 
