@@ -70,6 +70,11 @@ def rouge_l_short(spark, sf):
     return fx.samples(spark, sf).where("system = 'lead1'").select("id", F.round(text.rouge_l(F.col("prediction"), F.col("summary"), 40), 6).alias("rouge_l"))
 
 
+@query()
+def rouge_l_summary(spark, sf):
+    return fx.samples(spark, sf).select("system", "id", F.round(arrow.rouge_l(F.col("prediction"), F.col("summary")), 6).alias("rouge_l"))
+
+
 @query()
 def rouge_l_whole(spark, sf):
     return fx.samples(spark, sf).select("system", "id", F.round(arrow.rouge_l(F.col("prediction"), F.col("document")), 6).alias("rouge_l"))
