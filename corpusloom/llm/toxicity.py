@@ -88,14 +88,13 @@ def fit_ordinal(x: np.ndarray, grades: np.ndarray, weight: np.ndarray, steps: in
         gap = np.exp(np.clip(params[-1], -20, 5))
         z = x @ w
         g = np.zeros_like(params)
-        dz = np.zeros(len(x))
-        dt = [0.0, 0.0]
-        for k, t in enumerate((t1, t1 + gap)):
-            p = 1 / (1 + np.exp(-np.clip(z - t, -40, 40)))
-            use = weight if k == 0 else weight * (grades >= 1)  # continuation: the second threshold parts the toxic ones
-            d = use * (p - (grades > k))
-            dz += d
-            dt[k] = -d.sum()
+        low, high = np.logaddexp(0, z - t1), np.logaddexp(0, z - t1 - gap)
+        p1, p2, apart = np.exp(z - t1 - low), np.exp(z - t1 - gap - high), -np.expm1(-gap)
+        # grade 0: log(1 - p1); grade 1: log(p1 - p2), where p1 - p2 = p1 * (1 - p2) * apart; grade 2: log(p2)
+        dz = weight * np.select([grades < 1, grades < 2], [p1, p1 + p2 - 1], p2 - 1)
+        dt = [
+            (weight * np.select([grades < 1, grades < 2], [-p1, np.exp(high - low) / apart], 0)).sum(),
+            (weight * np.select([grades < 1, grades < 2], [0, -np.exp(low - high - gap) / apart], 1 - p2)).sum()]
         g[:-2] = x.T @ dz / weight.sum() + ridge * w
         g[-2] = (dt[0] + dt[1]) / weight.sum()
         g[-1] = dt[1] * gap / weight.sum()

@@ -103,6 +103,15 @@ def test_ordinal_fit():
     assert t[1] > t[0] and ((z > t[0]).astype(int) + (z > t[1]) == grades).mean() > 0.9
 
 
+def test_ordinal_fit_is_cumulative():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(6000, 1))
+    latent = 2 * x[:, 0] + rng.logistic(size=6000)
+    grades = (latent > 1).astype(int) + (latent > 3)
+    w, t = toxicity.fit_ordinal(x, grades, np.ones(6000))
+    assert w == pytest.approx([2], abs=0.15) and t == pytest.approx([1, 3], abs=0.2)
+
+
 def test_language_net():
     rng = random.Random(3)
     vocab = {"xx": "alpha beta gamma delta", "yy": "zorro kilo wiki junky", "zz": "éta ößu ñan çid"}
