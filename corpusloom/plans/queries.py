@@ -258,9 +258,8 @@ def number_factcheck(spark, sf):
 
 @query()
 def factcheck_names(spark, sf):
-    s = fx.samples(spark, sf).where("system = 'lead3'")
-    c = s.select("id", arrow.check_summary(F.col("prediction"), F.col("summary")).alias("c"))
-    return c.select("id", F.size("c").alias("sentences"), F.size(F.filter("c", lambda x: F.size(x["unsupported"]) > 0)).alias("flagged"))
+    c = fx.samples(spark, sf).select("system", "id", arrow.check_summary(F.col("prediction"), F.col("summary")).alias("c"))
+    return c.select("system", "id", F.size("c").alias("sentences"), F.size(F.filter("c", lambda x: F.size(x["unsupported"]) > 0)).alias("flagged"))
 
 
 def _sql_clean(x: str) -> str:
@@ -325,6 +324,11 @@ def judge_recover(spark, sf):
     return _raw(spark, sf).where("doc_id % 5 = 3").select("doc_id", judge.recovered_score(F.col("raw")).alias("score"), judge.recovered_claims(F.col("raw")).alias("claims"))
 
 
+@query()
+def judge_recover_all(spark, sf):
+    return _raw(spark, sf).select("doc_id", judge.recovered_score(F.col("raw")).alias("score"), judge.recovered_claims(F.col("raw")).alias("claims"))
+
+
 @query("SELECT doc_id, md5('Summarise: ' || substr(text, 1, 500)) AS digest, length(text) > 500 AS truncated FROM documents")
 def prompt_truncation(spark, sf):
     return documents(spark, sf).select("doc_id", F.md5(text.fill_prompt("Summarise: {document}", F.col("text"), 500).cast("binary")).alias("digest"), (F.char_length("text") > 500).alias("truncated"))
@@ -550,19 +554,27 @@ def length_matched(spark, sf):
         "id", text.length_matched(F.col("prediction"), F.col("target")).alias("by_syllables"), text.length_matched(F.col("prediction"), F.col("target"), "sentences").alias("by_sentences"))
 
 
+def _first_bigrams(s: DataFrame, *keys: str) -> DataFrame:
+    words = text.syllables(F.col("document"))
+    grams = F.array_distinct(text.ngrams(text.syllables(F.col("prediction")), 2))
+    at = text.let(text.ngrams(words, 2), lambda d: F.filter(F.transform(grams, lambda g: F.array_position(d, g)), lambda i: i > 0))
+    rows = s.select(*keys, F.greatest(F.size(words) - 2, F.lit(1)).alias("n"), at.alias("at")).where(F.size("at") > 0)
+    mean = F.aggregate("at", F.lit(0.0), lambda t, i: t + (i - 1) / F.col("n")) / F.size("at")
+    return rows.select(*keys, F.size("at").cast("bigint").alias("n_grams"), F.round(mean, 6).alias("mean_position"))
+
+
 @query(f"""
 WITH {SAMPLES}, w AS (SELECT id, {_P1} AS p, {sql_syllables('document')} AS d FROM samples WHERE system = 'tail2'),
 g AS (SELECT id, len(d) AS n, list_distinct(CASE WHEN len(p) >= 2 THEN {sql_ngrams('p', 2)} ELSE [] END) AS p2, CASE WHEN len(d) >= 2 THEN {sql_ngrams('d', 2)} ELSE [] END AS d2 FROM w),
 e AS (SELECT id, n, unnest(p2) AS gram, d2 FROM g)
 SELECT id, count(*) AS n_grams, {r6('avg((list_position(d2, gram) - 1) / greatest(n - 2, 1)::DOUBLE)')} AS mean_position FROM e WHERE list_contains(d2, gram) GROUP BY id""")
 def first_bigram_position(spark, sf):
-    s = fx.samples(spark, sf).where("system = 'tail2'")
-    words = text.syllables(F.col("document"))
-    grams = F.array_distinct(text.ngrams(text.syllables(F.col("prediction")), 2))
-    at = text.let(text.ngrams(words, 2), lambda d: F.filter(F.transform(grams, lambda g: F.array_position(d, g)), lambda i: i > 0))
-    rows = s.select("id", F.greatest(F.size(words) - 2, F.lit(1)).alias("n"), at.alias("at")).where(F.size("at") > 0)
-    mean = F.aggregate("at", F.lit(0.0), lambda t, i: t + (i - 1) / F.col("n")) / F.size("at")
-    return rows.select("id", F.size("at").cast("bigint").alias("n_grams"), F.round(mean, 6).alias("mean_position"))
+    return _first_bigrams(fx.samples(spark, sf).where("system = 'tail2'"), "id")
+
+
+@query()
+def first_bigram_position_all(spark, sf):
+    return _first_bigrams(fx.samples(spark, sf), "system", "id")
 
 
 @query("""

@@ -46,3 +46,12 @@ def test_rouge_l_of_whole_summaries(spark, sf):
     got = {r.system: r.rouge_l for r in queries.rouge_l_summary(spark, sf(" ".join(sents), "One. Two.")).collect()}
     picks = {"lead1": sents[0], "lead3": " ".join(sents[:3]), "tail2": " ".join(sents[-2:]), "long1": sents[2]}
     assert got == {k: pytest.approx(brute_rouge_l(v, " ".join(sents[1:3])), abs=1e-6) for k, v in picks.items()}
+
+
+def test_all_systems_and_reply_shapes(spark, sf):
+    path = sf(*["First thing is here. Second one, 12 pieces. Third part of it. Last words stand."] * 5)
+    every = {(s, i) for s in ("lead1", "lead3", "tail2", "long1") for i in range(5)}
+    assert {(r.system, r.id) for r in queries.factcheck_names(spark, path).collect()} == every
+    assert {(r.system, r.id) for r in queries.first_bigram_position_all(spark, path).collect()} == every
+    got = {r.doc_id: (r.score, r.claims) for r in queries.judge_recover_all(spark, path).collect()}
+    assert got == {0: (None, ""), 1: (None, '"x", "y"'), 2: (None, ""), 3: (4, '"a" b'), 4: (None, "")}
