@@ -27,8 +27,8 @@ TEMPLATES = (
     ("mit", "released under the mit license", ("mit license",)),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge",)),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
-    ("gpl-2", "licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
+    ("gpl-2", "the gnu general public license version 2", ("gnu general public license version 2",)),
+    ("gpl-3", "the gnu general public license version 3", ("gnu general public license version 3",)),
     ("lgpl", "licensed under the gnu lesser general public license", ("gnu lesser general public license",)),
     ("agpl-3", "licensed under the gnu affero general public license version 3", ("gnu affero general public license",)),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),

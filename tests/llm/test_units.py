@@ -138,5 +138,12 @@ def test_license_templates_find_themselves():
     assert index.matches(b"the license of this software is free".split()) == []
 
 
+@pytest.mark.parametrize("before", ["", "under ", "distributed under the ", "under the terms of the ", "this work is licensed under the "])
+@pytest.mark.parametrize("version", [2, 3])
+def test_license_key_phrase_is_enough(before, version):
+    words = f"x y {before}gnu general public license version {version} z".encode().split()
+    assert {m[0] for m in licenses.RareTokenIndex({}).matches(words)} == {f"gpl-{version}"}
+
+
 def test_crc_of_tail():
     assert zlib.crc32(media.padded(b"")[-64:]) == zlib.crc32(bytes(64))
