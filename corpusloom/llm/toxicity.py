@@ -11,7 +11,7 @@ above the median of the toxic ones.
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -68,10 +68,10 @@ def choose_features(toxic: list[set], clean: list[set], most: int, least: float
 
 
 def one_of_copies(rows: list[tuple[int, list[bytes]]]) -> list[tuple[int, list[bytes]]]:
-    """One document of each label and kind of text (its two words with the smallest hashes), so that copies do not count as evidence."""
+    """One document of each label and set of words, so that copies do not count as evidence."""
     seen, out = set(), []
     for label, words in rows:
-        key = (label, tuple(sorted(set(words), key=lambda w: (zlib.crc32(w), w))[:2]))
+        key = (label, hashlib.sha1(b" ".join(sorted(set(words)))).digest())
         if key not in seen:
             seen.add(key)
             out.append((label, words))

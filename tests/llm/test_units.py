@@ -112,6 +112,12 @@ def test_ordinal_fit_is_cumulative():
     assert w == pytest.approx([2], abs=0.15) and t == pytest.approx([1, 3], abs=0.2)
 
 
+def test_only_real_copies_collapse():
+    shared = [b"w%d" % i for i in range(50)]
+    rows = [(1, [*shared, b"one"]), (1, [*shared, b"two"]), (1, [b"one", *shared, b"w3"]), (0, [*shared, b"one"])]
+    assert toxicity.one_of_copies(rows) == [rows[0], rows[1], rows[3]]
+
+
 def test_language_net():
     rng = random.Random(3)
     vocab = {"xx": "alpha beta gamma delta", "yy": "zorro kilo wiki junky", "zz": "éta ößu ñan çid"}
