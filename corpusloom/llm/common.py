@@ -29,12 +29,14 @@ def blank_words(text: str | None) -> list[bytes]:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (tests on one machine) a folder of our own is set.
+    Only where the session names none, and driver and executors are one machine (tests), a folder of our own is set.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
         base = sc.getCheckpointDir()
+        if not base and not sc.master.startswith("local"):
+            raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         if not base:
             base = tempfile.mkdtemp(prefix="corpusloom-")
             sc.setCheckpointDir(base)

@@ -1,9 +1,10 @@
 """Media columns: payloads kept as images in archive directories, read by a custom Spark data source.
 
 An archive is a ZIP file of PNG images (grey, 8 bits a sample, 64 samples a row). Planning lists
-files only and cuts them into byte ranges. The task of a range opens the archive's central
+files only and cuts them into byte ranges. The task of a range reads the archive's central
 directory, takes the members whose header starts inside the range and streams their payloads as
-Arrow batches of bounded size. Each member is read, checked and retried by its own offset.
+Arrow batches of bounded size. The archive is opened once a range and read ahead; each member is
+checked by its own offset, and a retry opens the archive anew.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import uuid
 import zipfile
 import zlib
 from collections.abc import Iterator
+from hashlib import sha256
+from urllib.parse import quote
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,7 +34,7 @@ from pyspark.sql.datasource import (
 )
 
 from . import storage
-from .common import vectorized
+from .common import free_name, quoted, vectorized
 
 WIDTH = 64
 PNG_HEAD = b"\x89PNG\r\n\x1a\n"
@@ -64,10 +67,10 @@ def decode_png(png: bytes) -> tuple[int, bytes]:
     if png[:8] != PNG_HEAD:
         raise ValueError("no PNG")
     at, length, shape, parts = 8, None, None, []
-    while at < len(png):
+    while at + 12 <= len(png):
         (n,) = struct.unpack_from(">I", png, at)
         kind, data = png[at + 4 : at + 8], png[at + 8 : at + 8 + n]
-        if zlib.crc32(kind + data) != struct.unpack_from(">I", png, at + 8 + n)[0]:
+        if at + n + 12 > len(png) or zlib.crc32(kind + data) != struct.unpack_from(">I", png, at + 8 + n)[0]:
             raise ValueError(f"bad checksum of chunk {kind!r}")
         if kind == b"IHDR":
             shape = struct.unpack(">IIBBBBB", data)
@@ -78,7 +81,10 @@ def decode_png(png: bytes) -> tuple[int, bytes]:
         at += n + 12
     if shape is None or shape[0] != WIDTH or shape[2:4] != (8, 0):
         raise ValueError("not a grey 8-bit image of 64 samples a row")
-    lines = np.frombuffer(zlib.decompress(b"".join(parts)), np.uint8).reshape(shape[1], WIDTH + 1)
+    data = zlib.decompress(b"".join(parts))
+    if not shape[1] or len(data) != shape[1] * (WIDTH + 1):
+        raise ValueError("another number of samples than the header says")
+    lines = np.frombuffer(data, np.uint8).reshape(shape[1], WIDTH + 1)
     if lines[:, 0].any():
         raise ValueError("filtered rows")
     samples = lines[:, 1:].tobytes()
@@ -113,7 +119,7 @@ class _Written(WriterCommitMessage):
 class _MediaReader(DataSourceReader):
     def __init__(self, options):
         self.base = options["path"]
-        self.range_bytes = int(options.get("rangeBytes", 16 << 20))
+        self.range_bytes = int(options.get("rangeBytes", 64 << 20))
         self.batch_bytes = int(options.get("batchBytes", 8 << 20))
         self.batch_rows = int(options.get("batchRows", 2000))
         self.retries = int(options.get("retries", 3))
@@ -121,24 +127,24 @@ class _MediaReader(DataSourceReader):
     def partitions(self):
         return [_Range(*x) for x in storage.byte_ranges(storage.archive_files(self.base, (".zip",)), self.range_bytes)] or [_Range("", 0, 0)]
 
-    def member(self, fs, path: str, info: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
+    def member(self, f: storage.Window, info: zipfile.ZipInfo) -> tuple[bytes | None, str | None]:
         """One member by its offset, checked by its CRC; after ``retries`` failures its error."""
         error = None
         for attempt in range(self.retries):
             try:
-                with fs.open_input_file(path) as f:
-                    f.seek(info.header_offset)
-                    head = f.read(30)
-                    if head[:4] != b"PK\3\4":
-                        raise ValueError("no member header")
-                    f.seek(info.header_offset + 30 + sum(struct.unpack_from("<HH", head, 26)))
-                    raw = f.read(info.compress_size)
+                head = f.get(info.header_offset, 30)
+                if len(head) < 30 or head[:4] != b"PK\3\4":
+                    raise ValueError("no member header")
+                raw = f.get(info.header_offset + 30 + sum(struct.unpack_from("<HH", head, 26)), info.compress_size)
+                if info.flag_bits & 1 or info.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+                    return None, "ValueError: encrypted, or packed in another way than stored or deflated"
                 data = zlib.decompress(raw, -15) if info.compress_type == zipfile.ZIP_DEFLATED else raw
                 if len(data) != info.file_size or zlib.crc32(data) != info.CRC:
                     raise ValueError("bad checksum")
                 return data, None
-            except (OSError, ValueError, zlib.error) as e:
+            except (OSError, ValueError, struct.error, zlib.error) as e:
                 error = f"{type(e).__name__}: {e}"
+                f.close()
                 time.sleep(0.05 * attempt)
         return None, error
 
@@ -148,29 +154,49 @@ class _MediaReader(DataSourceReader):
         fs, _ = storage.filesystem(self.base)
         names = [x.split()[0] for x in READ_SCHEMA.split(", ")]
         types = [pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string()]
-        with fs.open_input_file(partition.path) as f, zipfile.ZipFile(f) as z:
-            infos = [i for i in z.infolist() if partition.start <= i.header_offset < partition.end]
-        rows, size = [], 0
+        for attempt in range(self.retries):
+            try:
+                with fs.open_input_file(partition.path) as f, zipfile.ZipFile(f) as z:
+                    infos = sorted((i for i in z.infolist() if partition.start <= i.header_offset < partition.end and not i.is_dir()), key=lambda i: i.header_offset)
+                    size = f.size()
+                break
+            except (zipfile.BadZipFile, OSError, ValueError, struct.error) as e:
+                error = f"{type(e).__name__}: {e}"
+                time.sleep(0.05 * attempt)
+        else:
+            if partition.start == 0:
+                yield _batch([(partition.path, None, None, None, error)], names, types)
+            return
+        window = storage.Window(lambda: fs.open_input_file(partition.path), size)
+        rows, held = [], 0
         for info in infos:
-            data, error = self.member(fs, partition.path, info)
+            data, error = self.member(window, info)
             rows.append((partition.path, info.header_offset, info.filename, data, error))
-            size += len(data or b"")
-            if size >= self.batch_bytes or len(rows) >= self.batch_rows:
+            held += len(data or b"")
+            if held >= self.batch_bytes or len(rows) >= self.batch_rows:
                 yield _batch(rows, names, types)
-                rows, size = [], 0
+                rows, held = [], 0
         if rows:
             yield _batch(rows, names, types)
+        window.close()
 
 
 def _batch(rows, names, types) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
 
+def stored_name(name: str, most: int = 60_000) -> str:
+    """A member's name as it stands in the archive: percent-encoded, but for letters, digits and ``_.-~``; what is longer
+    than a ZIP name may be is cut and ends in the SHA-256 of the whole."""
+    safe = quote(name, safe="", errors="replace")
+    return safe if len(safe) <= most else f"{safe[:most]}~{sha256(name.encode('utf-8', 'replace')).hexdigest()}"
+
+
 class _MediaWriter(DataSourceArrowWriter):
     """Takes rows ``(member string, payload binary)``; each task writes archives of its own, listed at commit."""
 
-    def __init__(self, options):
-        self.base = options["path"]
+    def __init__(self, options, overwrite: bool):
+        self.base, self.overwrite = options["path"], overwrite
         self.archive_bytes = int(options.get("archiveBytes", 128 << 20))
         self.archive_members = int(options.get("archiveMembers", 50_000))
 
@@ -193,7 +219,7 @@ class _MediaWriter(DataSourceArrowWriter):
                     name, n = f"{stem}-{len(files):04d}.zip", 0
                     out = fs.open_output_stream(storage.join(root, name))
                     z = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
-                z.writestr(f"{n:07d}-{member.as_py()}.png", encode_png(payload.as_py() or b""))
+                z.writestr(f"{n:07d}-{stored_name(member.as_py())}.png", encode_png(payload.as_py() or b""))
                 n += 1
                 if n >= self.archive_members or out.tell() >= self.archive_bytes:
                     close()
@@ -203,7 +229,7 @@ class _MediaWriter(DataSourceArrowWriter):
         return _Written(files)
 
     def commit(self, messages):
-        storage.write_manifest(self.base, [f for m in messages if m for f in m.files])
+        storage.write_manifest(self.base, [f for m in messages if m for f in m.files], self.overwrite)
 
     def abort(self, messages):
         fs, root = storage.filesystem(self.base)
@@ -225,11 +251,16 @@ class MediaArchive(DataSource):
         return _MediaReader(self.options)
 
     def writer(self, schema, overwrite):
-        return _MediaWriter(self.options)
+        return _MediaWriter(self.options, overwrite)
 
 
 def write_media(rows: DataFrame, member: Column, payload: Column, path: str) -> None:
-    """Writes one PNG member a row. A null payload is stored as an empty one; repeated names are kept apart by a number."""
+    """Writes one PNG member a row; a second call adds to the folder.
+
+    A null payload is stored as an empty one, a null name as ``null``. Equal names (ties, repeated rows) are kept apart
+    by a number before the name; slashes, blanks and long names are written as ``stored_name`` says. Other columns of
+    ``rows`` play no part, so none can clash.
+    """
     rows.sparkSession.dataSource.register(MediaArchive)
     rows.select(
         F.coalesce(member.cast("string"), F.lit("null")).alias("member"), payload.cast("binary").alias("payload")
@@ -237,30 +268,39 @@ def write_media(rows: DataFrame, member: Column, payload: Column, path: str) ->
 
 
 def read_media(spark: SparkSession, path: str, **options) -> DataFrame:
-    """One row a member: (archive, offset, member, media, error). A member that stays unreadable has a null media and its error."""
+    """One row a member: (archive, offset, member, media, error), whatever other tool wrote the archive. A member that
+    stays unreadable has a null media and its error; an archive without a readable directory is one such row without an
+    offset. An empty folder gives no rows."""
     spark.dataSource.register(MediaArchive)
     return spark.read.format("media_archive").options(**options).load(path)
 
 
-@vectorized("n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
-def _features(media: pd.Series) -> pd.DataFrame:
-    import hashlib
+_FEATURES = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+
 
+@vectorized(_FEATURES + ", problem string")
+def _features(media: pd.Series) -> pd.DataFrame:
     rows = []
     for png in media:
         if png is None:
-            rows.append((None,) * 7)
+            rows.append((None,) * 8)
             continue
-        length, samples = decode_png(png)
-        rows.append((
-            length, len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-64:]),
-            len(png), hashlib.sha256(png).hexdigest(), feature(samples),
-        ))
-    return pd.DataFrame(rows, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]).astype(
+        try:
+            length, samples = decode_png(png)
+            found = (length, len(samples), sha256(samples).hexdigest(), zlib.crc32(samples[-64:]), len(png), sha256(png).hexdigest(), feature(samples), None)
+        except (ValueError, struct.error, zlib.error) as e:
+            found = (*[None] * 4, len(png), sha256(png).hexdigest(), None, f"{type(e).__name__}: {e}")
+        rows.append(found)
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in _FEATURES.split(", ")] + ["problem"]).astype(
         {c: "Int64" for c in ("n_bytes", "payload_bytes", "tail_crc32", "media_bytes")})
 
 
 def media_features(rows: DataFrame) -> DataFrame:
-    """Adds the decoded payload's digests and features to what ``read_media`` returns; nulls where the media is null."""
-    return rows.withColumn("f", _features("media")).select(
-        *[c for c in rows.columns if c != "media"], "f.*")
+    """``rows`` as ``read_media`` returns them, with the decoded payload's digests and features in place of ``media``.
+
+    Where the media is null they are null. Bytes that are no PNG of the writer's kind have the length and the digest of
+    the stored form only and tell in ``error`` why. Equal media have equal features.
+    """
+    f = free_name(rows, "f")
+    keep = [F.coalesce("error", F.col(f)["problem"]).alias("error") if c == "error" else F.col(quoted(c)) for c in rows.columns if c != "media"]
+    return rows.withColumn(f, _features("media")).select(*keep, *[F.col(f)[x.split()[0]].alias(x.split()[0]) for x in _FEATURES.split(", ")])

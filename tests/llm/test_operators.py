@@ -5,6 +5,7 @@ import hashlib
 import importlib
 import random
 import re
+import zipfile
 import zlib
 
 import pytest
@@ -68,6 +69,28 @@ def test_media(spark, docs, tmp_path):
     archive.write_bytes(data)
     damaged = media.read_media(spark, path).collect()
     assert len(damaged) == len(TEXTS) and sum(r.media is None and r.error is not None for r in damaged) == 1
+    # a second append adds, an overwrite replaces
+    path = str(tmp_path / "twice")
+    one = spark.createDataFrame([("a/b", b"x"), ("n" * 70000, b"y")], "name string, data binary")
+    for n in (2, 4):
+        media.write_media(one, F.col("name"), F.col("data"), path)
+        assert media.read_media(spark, path).count() == n
+    names = {r.member for r in media.read_media(spark, path).collect()}
+    assert "0000000-a%2Fb.png" in names and max(map(len, names)) < 1 << 16
+    one.select(F.lit("z").alias("member"), F.lit(b"z").alias("payload")).write.format("media_archive").mode("overwrite").save(path)
+    assert media.read_media(spark, path).count() == 2 and {r.n_bytes for r in media.media_features(media.read_media(spark, path)).collect()} == {1}
+    # archives of another tool: other images, folders, damage
+    other = tmp_path / "other"
+    other.mkdir()
+    with zipfile.ZipFile(other / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("dir/", "")
+        z.writestr("dir/photo.jpg", b"\xff\xd8 no png")
+        z.writestr("cut.png", media.encode_png(b"abc")[:-20])
+        z.writestr("good.png", media.encode_png(b"abc"))
+    (other / "b.zip").write_bytes(b"this is no archive")
+    rows = media.media_features(media.read_media(spark, str(other))).collect()
+    assert {r.member: (r.n_bytes, r.error is None, r.media_bytes is None) for r in rows} == {
+        "dir/photo.jpg": (None, False, False), "cut.png": (None, False, False), "good.png": (3, True, False), None: (None, False, True)}
     media.write_media(empty(docs), F.col("doc_id"), F.col("text"), str(tmp_path / "e"))
     assert media.read_media(spark, str(tmp_path / "e")).count() == 0
 
@@ -81,6 +104,10 @@ def test_warc(spark, tmp_path):
     assert got == sorted([
         (False, 2, "response", None, 1, d("x")), (False, 2, "response", None, 1, d("x")), (False, 3, "response", None, 0, d("")), (False, 4, "revisit", 3, 0, d("")), (False, 5, "revisit", 2, 1, d("x")),
         (False, 7, "response", None, 250000, d("long " * 50000)), (False, 8, "response", None, 1, d("y")), (False, 9, "revisit", 2, 1, d("x")), (True, 0, "revisit", 8, 1, d("y"))], key=lambda r: r[:2])
+    rest = warc.read_warc(spark, str(tmp_path / "w"), rangeBytes=1).collect()
+    assert sorted(map(str, rest)) == sorted(map(str, warc.read_warc(spark, str(tmp_path / "w")).collect()))
+    warc.write_warc(pages.where("page_id = 7"), str(tmp_path / "w"))  # a second write adds to the first
+    assert warc.read_warc(spark, str(tmp_path / "w")).count() == len(rest) + 1
     warc.write_warc(empty(pages), str(tmp_path / "e"))
     assert warc.read_warc(spark, str(tmp_path / "e")).count() == 0
 

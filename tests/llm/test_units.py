@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from corpusloom.llm import decontaminate, language, licenses, media, neardup, toxicity, warc
+from corpusloom.llm import decontaminate, language, licenses, media, neardup, storage, toxicity, warc
 
 
 @given(st.binary(max_size=500))
@@ -26,6 +26,14 @@ def test_png_damage_is_told():
         media.decode_png(bytes(png))
 
 
+def scan(data, compressed, start=0, end=None):
+    return list(warc.scan(storage.Window(lambda: io.BytesIO(data), len(data), step=4096), "f", start, len(data) if end is None else end, compressed))
+
+
+def ids(rows):
+    return [int(r[8][12:-1]) for r in rows if r[0] == "record"]
+
+
 def records(n):
     out = []
     for i in range(n):
@@ -45,14 +53,68 @@ def test_salvage(compressed, ranges):
         data[starts[k] + len(parts[k]) * 3 // 4] ^= 0x55
     data[starts[15]] = 0
     data = bytes(data) + b"trailing junk"
-    cuts = [len(data) * i // ranges for i in range(ranges + 1)]
-    rows = [r for a, b in zip(cuts, cuts[1:]) for r in warc.scan(io.BytesIO(data), len(data), "f", a, b, compressed)]
-    got = sorted(int(r[6][12:-1]) for r in rows if r[0] == "record")
+    known = storage.known_ranges([{"path": "f", "size": len(data), "starts": starts[1:-1].tolist()}], len(data) // ranges)
+    assert len(known) >= min(2, ranges)
+    rows = [r for _, a, b in known for r in scan(data, compressed, a, b)]
+    got = sorted(int(r[8][12:-1]) for r in rows if r[0] == "record")
     assert got == [i for i in range(20) if i not in (3, 4, 11, 15)]
     covered = sorted((r[2], r[2] + r[3]) for r in rows)
     assert covered[0][0] == 0 and covered[-1][1] == len(data) and all(a[1] == b[0] for a, b in zip(covered, covered[1:]))
 
 
+def test_member_with_several_records(monkeypatch):
+    parts = records(9)
+    for whole in (warc.WHOLE, 500):  # the second way reads a long member twice
+        monkeypatch.setattr(warc, "WHOLE", whole)
+        data = warc.member(b"".join(parts[:3])) + warc.member(parts[3]) + warc.member(b"".join(parts[4:]))
+        rows = scan(data, True)
+        assert ids(rows) == list(range(9)) and all(r[0] == "record" for r in rows)
+        assert [r[4] for r in rows[:3]] == [0, len(parts[0]), len(parts[0]) + len(parts[1])] and rows[2][3] == len(warc.member(b"".join(parts[:3])))
+        # a bad record in the middle of a whole file's one member costs itself only
+        bad = bytearray(parts[1])
+        bad[-40] ^= 1
+        rows = scan(warc.member(b"".join([parts[0], bytes(bad), parts[2], b"rest"])), True)
+        assert ids(rows) == [0, 2] and [(r[4], r[5]) for r in rows if r[0] == "gap"] == [(len(parts[0]), len(bad)), (sum(map(len, parts[:3])), 4)]
+        # of a member that fails its own check, records with digests that agree are taken
+        broken = bytearray(data)
+        broken[len(warc.member(b"".join(parts[:3]))) - 8] ^= 1
+        rows = scan(bytes(broken), True)
+        assert sorted(ids(rows)) == list(range(9)) and sum(r[0] == "gap" for r in rows) == 1
+
+
+@pytest.mark.parametrize("compressed", [True, False])
+def test_records_inside_payloads_are_no_records(compressed):
+    inner = records(3)
+    pack = (lambda b: warc.member(b, 0)) if compressed else bytes
+
+    def outer(i, damage=False):
+        block = b"".join(map(pack, inner))
+        out = bytearray(warc.record([("WARC-Type", "resource"), ("WARC-Record-ID", f"<urn:x-page:{100 + i}>"), ("WARC-Block-Digest", "sha1:" + warc.base32_sha1(block))], block))
+        if damage:
+            out[-len(block) // 2 - 40] ^= 1
+        return bytes(out)
+
+    parts = [pack(x) for x in (outer(0), records(1)[0], outer(1), outer(2))]
+    data = b"".join(parts)
+    starts = np.cumsum([0, *map(len, parts)])[1:-1].tolist()
+    for target in (1, len(parts[0]), 1 << 30):
+        rows = [r for _, a, b in storage.known_ranges([{"path": "f", "size": len(data), "starts": starts}], target) for r in scan(data, compressed, a, b)]
+        assert ids(rows) == [100, 0, 101, 102] and all(r[0] == "record" for r in rows)
+    if not compressed:
+        rows = scan(outer(0) + outer(1, True) + records(1)[0], False)
+        assert ids(rows) == [100, 0] and [(r[2], r[3]) for r in rows if r[0] == "gap"] == [(len(outer(0)), len(outer(1)))]
+
+
+def test_long_headers_and_false_lengths():
+    block = b"x" * 10
+    long = warc.record([("WARC-Type", "resource"), ("WARC-Record-ID", "<urn:x-page:7>"), ("X-Note", "n" * 200_000)], block)
+    liar = records(1)[0].replace(b"Content-Length: ", b"Content-Length: 99999999999")
+    for compressed in (True, False):
+        pack = warc.member if compressed else bytes
+        rows = scan(pack(long) + pack(liar) + pack(long), compressed)
+        assert ids(rows) == [7, 7] and sum(r[0] == "gap" for r in rows) == 1
+
+
 @given(st.lists(st.sampled_from("a b c d e".split()), max_size=40), st.lists(st.lists(st.sampled_from("a b c d e".split()), max_size=8), max_size=5))
 @settings(max_examples=80, deadline=None)
 def test_window_hits_against_brute_force(words, items):
