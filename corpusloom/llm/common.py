@@ -48,11 +48,23 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` to the shared folder and reads it back with the same schema."""
+    """Cuts the lineage: writes ``df`` to the shared folder and reads it back with the same schema.
+
+    Tables that a lazy result still reads stay in the folder ``corpusloom`` there; whoever owns the shared folder
+    deletes them when the results are used up."""
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def delete(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and nothing will read again."""
+    for df in tables:
+        jvm, path = df.sparkSession._jvm, df._written
+        jvm.org.apache.hadoop.fs.Path(path).getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -100,38 +112,62 @@ def draw(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") / float(1 << 52)
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of an edge list ``(a long, b long)``: rows ``(node, component)``.
+#: A bitmap of wanted keys has at most so many bits, so at most 64 MB are broadcast however many keys there are.
+MAX_KEY_BITS = 1 << 29
+
+
+def maybe_wanted(rows: DataFrame, key: Column, wanted: DataFrame, name: str, max_bits: int = MAX_KEY_BITS) -> DataFrame:
+    """``rows`` with a boolean ``name``: false for certain where ``key`` (a long) is none of ``wanted`` (key long).
+
+    The wanted keys set bits of a bitmap that is broadcast in pieces of 4 KB, so ``rows`` are not shuffled. Some rows
+    whose key is not wanted are marked too, one in 32 for up to 16 million keys and more beyond, so an exact join of
+    the marked rows has to follow. ``wanted`` should be a written table, since it is counted first.
+    """
+    bits = 1 << max(15, min(max_bits.bit_length() - 1, (32 * wanted.count()).bit_length()))
+
+    def slot(k: Column) -> Column:
+        return F.pmod(F.xxhash64(k, F.lit(29)), F.lit(bits)) + 1
+
+    piece, bitmap = free_name(rows, "piece"), free_name(rows, "bitmap")
+    maps = wanted.select(slot(F.col("key")).alias("slot")).groupBy(F.bitmap_bucket_number("slot").alias(piece)).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias(bitmap))
+    at = F.bitmap_bit_position(slot(key)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col(bitmap), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(maps), F.bitmap_bucket_number(slot(key)) == F.col(piece), "left").withColumn(
+        name, F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))).drop(piece, bitmap)
+
+
+def components(edges: DataFrame, max_rounds: int = 60, share: int = 100_000) -> DataFrame:
+    """Connected components of an edge list ``(a, b)``: rows ``(node, component)``, a written table.
 
-    ``component`` is the smallest node id that is reachable. Every round spreads the smallest label
-    over the edges and then shortcuts labels through their labels, so that the rounds grow with the
-    logarithm of the longest path. Labels live in written tables, never on the driver. Sums and
-    minima are partial before each shuffle; hub nodes are dealt by AQE's skew join.
+    ``component`` is the smallest node that is reachable. Every round spreads the smallest label over the edges and
+    then shortcuts labels through their labels, so that the rounds grow with the logarithm of the longest path. Labels
+    live in written tables, never on the driver; those of a finished round are deleted. A node with more than one in
+    ``share`` of all edges (at least 10,000) is dealt over several tasks by a salt: its edges stay where they are and
+    its one label is copied to each salt. Minima are partial before each shuffle. Without edges there are no rows.
     """
     both = written(
-        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        .where("a <> b").distinct(),
-        "edges",
-    )
+        edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
+    degree = both.groupBy("b").agg(F.count("*").alias("n"))
+    least = max(10_000, both.count() // share)
+    hubs = written(degree.where(F.col("n") > least).select("b", F.ceil(F.col("n") / least).cast("int").alias("salts")), "hubs")  # at most ``share`` rows
+    salted = both.join(F.broadcast(hubs), "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("salts", F.lit(1))).cast("int").alias("salt"))
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(
         F.col("a").alias("node"), F.least("a", "m").alias("component")), "labels")
     for _ in range(max_rounds):
-        near = (
-            both.join(labels.withColumnRenamed("node", "b"), "b")
-            .groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        )
-        spread = labels.join(near, "node", "left").select(
-            "node", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("component")
-        )
-        spread = written(spread, "spread")
+        copies = labels.withColumnRenamed("node", "b").join(F.broadcast(hubs), "b", "left").select(
+            "b", "component", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
+        near = salted.join(copies, ["b", "salt"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
+        spread = written(labels.join(near, "node", "left").select(
+            "node", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("component")), "spread")
         jump = spread.select(F.col("node").alias("component"), F.col("component").alias("m"))
-        step = written(
-            spread.join(jump, "component", "left").select(
-                "node", "old", F.least("component", F.coalesce("m", "component")).alias("component")),
-            "labels",
-        )
-        labels = step.select("node", "component")
+        step = written(spread.join(jump, "component", "left").select(
+            "node", "old", F.least("component", F.coalesce("m", "component")).alias("component")), "labels")
+        delete(labels, spread)
+        labels = step
         if not step.where("old <> component").limit(1).count():
-            return labels
+            delete(both, hubs)
+            return step.select("node", "component")
+        labels = step.select("node", "component")
+        labels._written = step._written
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-

@@ -7,12 +7,15 @@
    bits, the odd sketch; the population count of two bitmaps' XOR estimates the similarity.
 3. In every bucket each node is a candidate with the bucket's leader, its smallest node. Candidates
    pass if sizes and sketches allow a similarity of 0.5, and become links after a check of their full
-   shingle sets.
+   shingle sets. Sets are made of the texts of candidates only, where they are read.
 4. Buckets of three and more nodes that these links leave in several components are compared further,
    in blocks of bounded size that hold the full sets: a pair is looked at in the first of its common
    buckets only, the most similar by sketch first, and not at all once its components have met. Only
-   links come out. So no link that would join components is lost, and no group's pairs are listed.
+   links come out. Blocks of one bucket meet after that, if it is still open. So no link that would
+   join components is lost, and no group's pairs are listed.
 5. Components of the links, by label spreading in written tables.
+
+A key with many rows (a bucket, a leader, a hub) is dealt over tasks by a salt.
 """
 
 from __future__ import annotations
@@ -23,14 +26,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import blank_words, components, quoted, vectorized, written
+from .common import blank_words, components, delete, free_name, maybe_wanted, quoted, vectorized, written
 
 SHINGLE, SAMPLES, BANDS, BITS = 5, 128, 32, 512
 ROWS = SAMPLES // BANDS
 NUMERATOR, DENOMINATOR = 75, 100
-#: XOR counts up to this one pass: the expected count for a similarity of 0.5, over 4 deviations from that for 0.75.
+#: XOR counts up to this one pass: the expected count for a similarity of 0.5. Of pairs at 0.75 less than one in a million
+#: has more: that takes 60 of 128 samples that differ, where 32 are expected and the deviation is 4.9.
 MOST_XOR = int(BITS / 2 * (1 - np.exp(-2 * (2 * SAMPLES * 0.5) / BITS)))
 BLOCK = 400
 _rng = np.random.default_rng(75)
@@ -102,12 +107,10 @@ def _signature(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["n_shingles", "node", "bands", "sketch"])
 
 
-@vectorized("binary")
-def _full_set(texts: pd.Series, nodes: pd.Series) -> pd.Series:
-    """The full set of a text; null for a text that is not the node's. The test stands in here, since Spark would
-    turn a filter on it into a join key and shingle every document."""
+@vectorized("node binary, shingles binary")
+def _full_set(texts: pd.Series) -> pd.DataFrame:
     found = [shingles(t) for t in texts]
-    return pd.Series([x.tobytes() if set_key(x) == bytes(n) else None for x, n in zip(found, nodes)])
+    return pd.DataFrame({"node": [set_key(x) for x in found], "shingles": [x.tobytes() for x in found]})
 
 
 def linked_sets(a: bytes, b: bytes) -> bool:
@@ -129,20 +132,42 @@ def _xor_count(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(BITS // 64)), F.lit(0))
 
 
+def _row_key() -> Column:
+    """Tells a row of ``docs``: rows that are equal in id and text share it."""
+    return F.xxhash64("doc_id", F.xxhash64("text"))
+
+
 def _full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, shingles) of the wanted nodes, from the whole text of one document each."""
-    rep = nodes.join(wanted, "node", "left_semi").select(F.col("node").alias("want"), F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_key").alias("text_key"))
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    found = texts.join(rep, (F.col("key") == F.col("text_key")) & F.col("doc_id").eqNullSafe(F.col("rep_id"))).select(F.col("want").alias("node"), _full_set("text", "want").alias("shingles"))
-    return written(found.groupBy("node").agg(F.first("shingles", ignorenulls=True).alias("shingles")), "sets")
+    """(node, shingles), a written table with all wanted nodes (and a few others), from the whole text of one row each.
+
+    The rows are found by a bitmap of their keys, so texts are read once more but never shuffled.
+    """
+    rows = written(nodes.join(wanted, "node", "left_semi").select(F.col("rep").alias("key")), "wanted")
+    texts = maybe_wanted(docs.select("text", _row_key().alias("row_key")), F.col("row_key"), rows, "hit").where("hit")
+    out = written(texts.select(_full_set("text").alias("y")).groupBy("y.node").agg(F.first("y.shingles").alias("shingles")), "sets")
+    delete(rows)
+    return out
+
+
+def _salts(m: Column) -> Column:
+    """Over how many tasks the ``m`` rows of a key are dealt."""
+    return F.ceil(m / BLOCK).cast("int")
+
+
+def _salt(node: str, m: Column) -> Column:
+    return F.pmod(F.xxhash64(node), _salts(m)).cast("int")
+
 
+def _with_leader(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """Joins (a, b, m, ...) with ``values`` (b, ...), whose rows are copied to the salts over which a leader's pairs are dealt."""
+    leaders = pairs.groupBy("b").agg(F.max("m").alias("m")).join(values, "b").withColumn("salt", F.explode(F.sequence(F.lit(0), _salts(F.col("m")) - 1))).drop("m")
+    return pairs.withColumn("salt", _salt("a", F.col("m"))).join(leaders, ["b", "salt"])
 
-def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    sets = _full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), nodes, docs)
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
-        sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    return both.where(_linked("x", "y")).select("a", "b")
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, m) whose full sets are similar enough, as (a, b)."""
+    left = pairs.join(sets.toDF("a", "x"), "a")
+    return _with_leader(left, sets.toDF("b", "y")).where(_linked("x", "y")).select("a", "b")
 
 
 _UNIT = ["key", "bi", "bj"]
@@ -200,68 +225,151 @@ def _block_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(_compare(held), columns=["a", "b"])
 
 
-def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _hot_keys(nodes: DataFrame, most: int = 100_000, chunk: int = 1 << 21) -> DataFrame:
+    """(key): the band keys that a large share of the nodes has, a written table of at most ``2 * most`` rows.
+
+    A key is hot from BLOCK nodes on, or one in ``most`` of all, by counts of what stands together in the same
+    partition. The list only decides which of two ways a bucket goes; both give the same rows.
+    """
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+
+        def out() -> pd.DataFrame:
+            keys, counts = np.unique(np.concatenate(held), return_counts=True)
+            return pd.DataFrame({"key": keys[counts > 1], "n": counts[counts > 1].astype(np.int64)})
+
+        for batch in batches:
+            if len(batch):
+                held.append(np.concatenate(batch["bands"].to_numpy()))
+                n += len(held[-1])
+            if n >= chunk:
+                yield out()
+                held, n = [], 0
+        if held:
+            yield out()
+
+    least = max(BLOCK, nodes.count() * BANDS // most)
+    return written(nodes.select("bands").mapInPandas(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") * 2 >= least).select("key"), "hot")
+
+
+def _buckets(nodes: DataFrame) -> DataFrame:
+    """(key, band, node, leader, m) of all buckets with m > 1 nodes, a written table.
+
+    Nodes are dealt by key once. Hot keys stay out of that: their leaders and sizes come from partial aggregates and
+    are broadcast to the rows.
+    """
     members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    buckets = written(members.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("m")).where("m > 1"), "buckets")
-    in_bucket = written(members.join(buckets, "key"), "members")
-    size = nodes.select("node", "n_shingles", "sketch")
-    pairs = in_bucket.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
-    pairs = (
-        pairs.join(size.toDF("a", "na", "sa"), "a").join(size.toDF("b", "nb", "sb"), "b")
-        .where(_sizes_allow("na", "nb") & (_xor_count("sa", "sb") <= MOST_XOR)).select("a", "b")
-    )
-    first = written(_verify(written(pairs, "pairs"), nodes, docs), "links")
-    component = components(first)
-    # buckets whose nodes, but for the leader that all have met, are in several components
-    open_rows = in_bucket.where("m > 2").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    still = open_rows.where("node <> leader").groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
-    again = written(open_rows.where("node <> leader").join(still, "key", "left_semi"), "open")
-    sets = _full_sets(again.select("node").distinct(), nodes, docs)
-    # a bucket is cut into so many blocks that a block has about BLOCK nodes; every pair of blocks is a unit of work
-    unit = (
-        again.join(nodes.select("node", "n_shingles", "sketch", "bands").join(sets, "node"), "node")
-        .withColumn("g", F.ceil(F.col("m") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("g")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        .select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "band", "block", "node", "leader", "component", "n_shingles", "sketch", "bands", "shingles")
-    )
-    more = unit.repartition(*_UNIT).sortWithinPartitions(*_UNIT).mapInPandas(_block_links, "a binary, b binary")
-    return first.union(written(more, "links"))
+    hot = _hot_keys(nodes)
+    by_key = W.partitionBy("key")
+    cold = members.join(F.broadcast(hot), "key", "left_anti").withColumns({"leader": F.min("node").over(by_key), "m": F.count("*").over(by_key)}).where("m > 1")
+    large = written(members.join(F.broadcast(hot), "key").groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("m")).where("m > 1"), "large")
+    out = written(cold.select("key", "band", "node", "leader", "m").union(
+        members.join(F.broadcast(large), "key").select("key", "band", "node", "leader", "m")), "members")
+    delete(hot, large)
+    return out
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, text_key), one row a document.
+def _open_buckets(members: DataFrame, component: DataFrame, least: int) -> DataFrame:
+    """The rows of ``members``, leaders left out, of buckets with at least ``least`` nodes in several components.
 
-    Words are lower-cased (A-Z) runs of ``[^\\x20\\x09-\\x0D]``. Texts link if 100 * |intersection| >=
-    75 * |union| of their shingle sets. Null, empty and blank texts have no shingles and are groups of
-    their own. ``component_id`` is the smallest non-null doc_id of the group; ``kept`` is true where
-    it is the document's own, and for all rows of a group that has null ids only. Rows that are equal
-    in id and text are kept or not together. ``text_key`` tells rows with equal ids apart.
+    Of buckets with the same nodes only that of the smallest band stays: in it the pairs are looked at. A bucket's one
+    row is copied to the salts over which its nodes are dealt.
     """
+    rows = members.where(F.col("m") >= least).where("node <> leader").drop("component").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    still = rows.groupBy("key", "band", "m").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("y"))
+    kept = still.where("low <> high").groupBy("x", "y", "m").agg(F.min(F.struct("band", "key")).alias("k")).select(
+        "k.key", F.explode(F.sequence(F.lit(0), _salts(F.col("m")) - 1)).alias("salt"))
+    return rows.withColumn("salt", _salt("node", F.col("m"))).join(kept, ["key", "salt"], "left_semi").drop("salt")
+
+
+def _compared(rows: DataFrame, nodes: DataFrame, sets: DataFrame, across: bool) -> DataFrame:
+    """Links between different components inside the blocks of each bucket or, if ``across``, between its blocks.
+
+    A bucket is cut into so many blocks that one has about BLOCK nodes; a block or pair of blocks is a unit of work.
+    """
+    g, block = _salts(F.col("m")), F.col("block")
+    other = F.explode(F.filter(F.sequence(F.lit(0), g - 1), lambda i: i != block)) if across else block
+    unit = (
+        rows.join(nodes.select("node", "n_shingles", "sketch", "bands").join(sets, "node"), "node").withColumn("block", _salt("node", F.col("m"))).withColumn("other", other)
+        .select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "band", "block", "node", "leader", "component", "n_shingles", "sketch", "bands", "shingles"))
+    return unit.repartition(*_UNIT).sortWithinPartitions(*_UNIT).mapInPandas(_block_links, "a binary, b binary")
+
+
+def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b), a written table of links that join all nodes of a group."""
+    members = _buckets(nodes)
+    pairs = members.where("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.max("m").alias("m"))
+    size = nodes.select("node", "n_shingles", "sketch")
+    pairs = written(
+        _with_leader(pairs.join(size.toDF("a", "na", "sa"), "a"), size.toDF("b", "nb", "sb"))
+        .where(_sizes_allow("na", "nb") & (_xor_count("sa", "sb") <= MOST_XOR)).select("a", "b", "m"), "pairs")
+    sets = _full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), nodes, docs)
+    links = written(_verified(pairs, sets), "links")
+    delete(pairs)
+    component = components(links)
+    rows = written(_open_buckets(members, component, 3), "open")
+    lacking = written(rows.select("node").distinct().join(sets, "node", "left_anti"), "lacking")
+    if lacking.limit(1).count():
+        sets = sets.unionByName(_full_sets(lacking, nodes, docs)).dropDuplicates(["node"])
+    inside = written(_compared(rows, nodes, sets, False), "links")
+    every = links.union(inside)
+    if rows.where(F.col("m") > BLOCK).limit(1).count():  # what the blocks themselves have joined needs no look across
+        rows = written(_open_buckets(rows, components(every), BLOCK + 1), "open")
+        every = every.union(written(_compared(rows, nodes, sets, True), "links"))
+    delete(members)
+    return every
+
+
+def _groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, n_shingles, group, component_id), one row a document; ``group`` is null without shingles."""
     docs = docs.select("doc_id", "text")
     signed = written(docs.select("doc_id", F.xxhash64("text").alias("text_key"), _signature("text").alias("s")).select("doc_id", "text_key", "s.*"), "signatures")
     nodes = written(
         signed.where("n_shingles > 0").groupBy("node").agg(
-            F.min("doc_id").alias("doc_id"), F.max(F.struct("doc_id", "text_key")).alias("rep"), F.count("*").alias("copies"),
+            F.min("doc_id").alias("doc_id"), F.min(F.xxhash64("doc_id", "text_key")).alias("rep"), F.count("*").alias("copies"),
             F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
-        "nodes",
-    )
+        "nodes")
     found = components(_links(nodes, docs))
     least = nodes.select("node", "doc_id").join(found, "node").groupBy("component").agg(F.min("doc_id").alias("least"))
     groups = (
-        nodes.select("node", "doc_id", "copies").join(found, "node", "left").join(least, "component", "left")
-        .where("copies > 1 or component is not null").select("node", F.coalesce("least", "doc_id").alias("group_id"))
-    )
-    component_id = F.coalesce("group_id", "doc_id")
+        nodes.select("node", "doc_id", "copies").join(found, "node", "left").join(least, "component", "left").where("copies > 1 or component is not null")
+        .select("node", F.coalesce("component", "node").alias("group"), F.coalesce("least", "doc_id").alias("group_id")))
     return signed.join(groups, "node", "left").select(
-        "doc_id", "n_shingles", component_id.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component_id, component_id.isNull()).alias("kept"), "text_key")
+        "doc_id", "text_key", "n_shingles", F.coalesce("group", "node").alias("group"), F.coalesce("group_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), one row a document.
+
+    Words are lower-cased (A-Z) runs of ``[^\\x20\\x09-\\x0D]``. Texts link if 100 * |intersection| >= 75 * |union| of
+    their shingle sets, compared as sets of 64-bit hashes. Null, empty and blank texts have no shingles and are groups
+    of their own. ``component_id`` is the smallest non-null doc_id of the group; ``kept`` is true where it is the
+    document's own, and for all rows of a group that has null ids only. Repeated rows are kept or not together. Other
+    columns of ``docs`` play no part, so none can clash. An empty table gives no rows.
+    """
+    return _groups(docs).select(
+        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id. Repeated rows are one document."""
-    marks = written(near_duplicates(docs), "groups")
-    gone = marks.where("not kept").select(F.col("doc_id").alias("__gone_id"), F.col("text_key").alias("__gone_key")).distinct()
-    doc_id, text = docs[quoted("doc_id")], docs[quoted("text")]
-    left = docs.join(gone, doc_id.eqNullSafe(F.col("__gone_id")) & F.xxhash64(text).eqNullSafe(F.col("__gone_key")), "left_anti")
-    repeated = marks.where("kept and doc_id is not null").groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count()
-    return left.dropDuplicates(["doc_id", "text"]) if repeated else left
+    """``docs``, with all its columns, with one row of each group: of the smallest id (nulls last) and, of equal ids, the
+    smallest hash of the text. Repeated rows of it are one. Texts without words all stay.
+
+    Which rows go is worked out on their keys. A bitmap of those keys tells rows that surely stay, a second one rows
+    that surely go; only the few rows that both leave open are shuffled, to be looked up. Names of any columns may be
+    taken: helping columns get free ones.
+    """
+    marks = written(_groups(docs).where("group is not null").withColumn("key", F.xxhash64("doc_id", "text_key")), "marks")
+    first = marks.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "key")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    judged = marks.select("group", "key").join(first.select("group", F.col("first.key").alias("first")), "group", "left").groupBy("key").agg(
+        F.bool_or(F.coalesce(F.col("key") == F.col("first"), F.lit(True))).alias("stays"), F.count("*").alias("rows"))
+    judged = written(judged, "judged")
+    touched = written(judged.where("not stays or rows > 1").select("key"), "touched")
+    unsure = written(maybe_wanted(judged.where("stays").select("key"), F.col("key"), touched, "hit").where("hit").select("key"), "unsure")
+    key, maybe, stay = (free_name(docs, x) for x in ("key", "maybe", "stay"))
+    columns = [F.col(quoted(c)) for c in docs.columns]
+    rows = maybe_wanted(docs.withColumn(key, _row_key()), F.col(key), touched, maybe)
+    open_ = maybe_wanted(rows.where(F.col(maybe)), F.col(key), unsure, stay).where(F.col(stay))
+    looked_up = open_.join(unsure.select(F.col("key").alias(stay + "_")), F.col(key) == F.col(stay + "_"), "left_semi").dropDuplicates([key])
+    return rows.where(~F.col(maybe)).select(*columns).union(looked_up.select(*columns))

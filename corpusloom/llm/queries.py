@@ -51,7 +51,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text_key")
+    return neardup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,6 +116,18 @@ SELECT page_id, host, path, rule,
 FROM listed LEFT JOIN words USING (page_id)""",
 }
 
+_BLANK_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
+#: An exact join on shingles, without bands or sketches.
+ORACLES["op7_neardup"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_BLANK_WORDS} AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM d),
+e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared, any_value(a.n) AS nx, any_value(b.n) AS ny FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT x, y FROM p WHERE 100 * shared >= 75 * (nx + ny - shared)),
+r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x, min(y) AS low FROM r GROUP BY x)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, low) AS component_id, doc_id <= coalesce(low, doc_id) AS kept FROM s LEFT JOIN c ON x = doc_id"""
+
 
 def _sql_inverse(knots) -> str:
     """``mixing.inverse`` of ``q`` in SQL."""
