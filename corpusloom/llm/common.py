@@ -137,6 +137,28 @@ def maybe_wanted(rows: DataFrame, key: Column, wanted: DataFrame, name: str, max
         name, F.coalesce(F.getbit(byte, at % 8) == 1, F.lit(False))).drop(piece, bitmap)
 
 
+def row_key(rows: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Column:
+    """A long that tells rows apart: those that are equal in id and text share it."""
+    return F.xxhash64(rows[quoted(doc_id)], F.xxhash64(rows[quoted(text)]))
+
+
+def without(rows: DataFrame, key: Column, gone: DataFrame, stays: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose key (a long) is not in ``gone``, without shuffling them all: (rows that no key of ``gone`` may
+    meet, rows that were looked up).
+
+    ``gone`` and ``stays`` are written tables (key) of all rows' keys; a key of both stays. A bitmap of the first tells
+    rows that surely stay. The keys of the second that it marks too make another bitmap: rows that it leaves out surely
+    go, the few others are joined. All helping columns have free names and are dropped again.
+    """
+    unsure = written(maybe_wanted(stays, F.col("key"), gone, "hit").where("hit").select("key").distinct(), "unsure")
+    k, maybe, stay, other = (free_name(rows, x) for x in ("key", "maybe", "stay", "other"))
+    columns = [F.col(quoted(c)) for c in rows.columns]
+    marked = maybe_wanted(rows.withColumn(k, key), F.col(k), gone, maybe)
+    open_ = maybe_wanted(marked.where(F.col(maybe)), F.col(k), unsure, stay).where(F.col(stay))
+    looked_up = open_.join(unsure.select(F.col("key").alias(other)), F.col(k) == F.col(other), "left_semi")
+    return marked.where(~F.col(maybe)).select(*columns), looked_up.select(*columns)
+
+
 def components(edges: DataFrame, max_rounds: int = 60, share: int = 100_000) -> DataFrame:
     """Connected components of an edge list ``(a, b)``: rows ``(node, component)``, a written table.
 

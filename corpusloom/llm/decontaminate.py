@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import alnum_words, quoted, vectorized, written
+from .common import alnum_words, free_name, maybe_wanted, quoted, vectorized, written
 
 WINDOW = 10
 MAX_BROADCAST_BYTES = 4 << 20
@@ -164,24 +164,25 @@ def _joined(docs: DataFrame, benchmark: DataFrame, text: str, n: int) -> DataFra
             rows.append((len(hit), int(hit.sum()), spans_of(hit)))
         return pd.DataFrame(rows, columns=["n_words", "n_hit", "spans"])
 
-    wins = written(benchmark.select(F.col("item_id").cast("string").alias("item"), F.explode(item_windows("text")).alias("x")).select("item", "x.*"), "windows")
+    each = benchmark.select(F.col("item_id").cast("string").alias("item"), F.explode(item_windows("text")).alias("x"))
+    wins = written(each.groupBy("x.n", "x.h", "x.w").agg(F.collect_set("item").alias("items")), "windows")
     lengths = [r.n for r in wins.select("n").distinct().collect()]  # n different values at most
-    key = "__row"
-    keyed = written(docs.select(F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("__doc"), docs[quoted(text)].alias("__text")).withColumn(key, F.monotonically_increasing_id()), "docs")
-    found = (
-        keyed.select(key, F.explode(_windows_of_document("__text", F.array(*[F.lit(x) for x in lengths]) if lengths else F.expr("cast(array() as array<int>)"))).alias("x"))
-        .select(key, "x.*").join(wins.select("item", "n", "h", "w"), ["n", "h", "w"])
-        .groupBy(key).agg(
-            F.sort_array(F.collect_set("item")).alias("items"),
-            F.collect_set(F.array("at", "n")).alias("places"))
-    )
-    return keyed.join(found, key, "left").select(
-        "__doc", F.struct(marks("__text", "places").alias("m"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items")).alias("y")
-    ).select("__doc.*", F.struct("y.m.n_words", "y.m.n_hit", "y.items", "y.m.spans").alias("__hits"))
+    keyed = written(docs.select(F.struct(*[docs[quoted(c)] for c in docs.columns]).alias("doc"), docs[quoted(text)].alias("text")).withColumn("row", F.monotonically_increasing_id()), "docs")
+    places = keyed.select("row", F.explode(_windows_of_document("text", F.array(*[F.lit(x) for x in lengths]) if lengths else F.expr("cast(array() as array<int>)"))).alias("x")).select("row", "x.*")
+    # a bitmap leaves out nearly all windows before anything is shuffled; windows of many documents meet theirs by a broadcast
+    hits = written(maybe_wanted(places, F.col("h"), written(wins.select(F.col("h").alias("key")), "keys"), "maybe").where("maybe").drop("maybe"), "hits")
+    counts = hits.groupBy("n", "h", "w").agg(F.count("*").alias("k"))
+    hot = written(wins.join(counts.where(F.col("k") > max(10_000, hits.count() // 100_000)), ["n", "h", "w"]).drop("k"), "hot")  # at most 100,000 rows
+    matched = hits.join(F.broadcast(hot), ["n", "h", "w"]).union(hits.join(F.broadcast(hot), ["n", "h", "w"], "left_anti").join(wins, ["n", "h", "w"]))
+    found = matched.groupBy("row").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.collect_set(F.array("at", "n")).alias("places"))
+    out = keyed.join(found, "row", "left").select(
+        "doc", F.struct(marks("text", "places").alias("m"), F.coalesce("items", F.expr("cast(array() as array<string>)")).alias("items")).alias("y"))
+    return out.select("doc.*", F.struct("y.m.n_words", "y.m.n_hit", "y.items", "y.m.spans").alias(free_name(docs, "hits")))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", n: int = WINDOW, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """All columns of ``docs`` and ``__hits`` = (n_words, n_hit, items as sorted strings, spans of hit words).
+    """All columns of ``docs`` and a last one (n_words, n_hit, items as sorted strings, spans of hit words), named
+    ``__hits`` with as many underscores after it as it takes to clash with no other.
 
     A null or empty text has no words and no hits; so does any text where the benchmark is empty.
     Items without words have no windows; windows of an item with a null id mark words but name no
@@ -193,7 +194,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
         return _joined(docs, bench, text, n)
     items = [(r.item_id, r.text) for r in bench.collect()]
     scan = _scan(docs.sparkSession.sparkContext.broadcast(items), n)
-    return docs.withColumn("__hits", scan(docs[quoted(text)]))
+    return docs.withColumn(free_name(docs, "hits"), scan(docs[quoted(text)]))
 
 
 @vectorized("string")
@@ -204,11 +205,12 @@ def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", text: str = "text", n: int = WINDOW, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """``docs`` without contamination: ``documents`` drops every document with a hit, ``spans`` cuts the hit words out of its text."""
     found = find_contamination(docs, benchmark, text, n, max_broadcast_bytes)
+    hits, columns = F.col(found.columns[-1]), [F.col(quoted(c)) for c in docs.columns]
     if mode == "documents":
-        return found.where("__hits.n_hit = 0").drop("__hits")
+        return found.where(hits["n_hit"] == 0).select(*columns)
     if mode != "spans":
         raise ValueError(f"mode must be documents or spans, not {mode!r}")
-    return found.withColumn(text, _cut(F.col(quoted(text)), F.col("__hits.spans"))).drop("__hits")
+    return found.withColumn(text, _cut(F.col(quoted(text)), hits["spans"])).select(*columns)
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

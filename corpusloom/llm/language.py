@@ -7,7 +7,9 @@ in a window feeds a softmax. A document's prediction is the mean over all its wi
 
 from __future__ import annotations
 
+import functools
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,17 +17,24 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, quoted
+from .common import held_out, quoted, written
 
 WINDOW, WIDTHS, FILTERS, DIM = 256, (2, 3, 4), 12, 8
 #: Bounds of the training sample, in documents and in windows of a language.
 MAX_TRAIN_DOCS, MAX_TRAIN_WINDOWS, MAX_TRAIN_BYTES = 1500, 3000, 64 << 20
-_OTHER = re.compile(r"[\W\d_]+")
+MAX_LANGUAGES = 1000
+
+
+@functools.cache
+def _other() -> re.Pattern:
+    """Runs of what is no letter (general category L): a word character may also be a number like ``½``, ``²`` or ``Ⅷ``."""
+    numbers = "".join(c for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c) in ("Nl", "No"))
+    return re.compile(rf"[\W\d_{numbers}]+")
 
 
 def letters_of(text: str | None) -> bytes:
     """The letters of a whole text, lower-cased, with one blank for anything between; empty if it has no letter."""
-    return _OTHER.sub(" ", text.lower()).strip().encode("utf-8", "replace") if text else b""
+    return _other().sub(" ", text.lower()).strip().encode("utf-8", "replace") if text else b""
 
 
 def windows_of(data: bytes, window: int = WINDOW) -> np.ndarray:
@@ -118,15 +127,16 @@ class ByteCnn:
         return self.languages[best], float(min(1.0, mean[best]))
 
 
-def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_windows: int = MAX_TRAIN_WINDOWS, max_bytes: int = MAX_TRAIN_BYTES) -> ByteCnn:
+def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_windows: int = MAX_TRAIN_WINDOWS, max_bytes: int = MAX_TRAIN_BYTES, max_languages: int = MAX_LANGUAGES) -> ByteCnn:
     """Fits on text and lang of documents with a language that are not held out.
 
-    The sample is bounded: about ``max_docs`` documents of each language, drawn by a hash of the text,
-    a few windows of each (spread over the whole text), ``max_windows`` windows a language and
-    ``max_bytes`` in all.
+    The sample is bounded: about ``max_docs`` documents of each language, drawn by a hash of the text, four windows of
+    each (spread over the whole text; equal ones count once), ``max_windows`` windows a language and about ``max_bytes``
+    in all, drawn by a hash of the window. Only the ``max_languages`` most frequent languages are learned; of equally
+    frequent ones those that sort first. Reruns fit the same model.
     """
     rows = docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(1000).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()}
     rate = F.lit(0.0)
     for lang, n in counts.items():
         rate = F.when(F.col("lang") == lang, min(1.0, max_docs / n)).otherwise(rate)
@@ -141,8 +151,10 @@ def train(docs: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_windows: int = MA
         return texts.map(pick)
 
     sample = rows.where(u < rate).select("lang", F.explode(some("text")).alias("w")).distinct()
-    limit = max(1, max_bytes // WINDOW)
-    got = sorted((r.lang, bytes(r.w)) for r in sample.limit(limit).collect())
+    sample = written(sample, "windows")
+    n, limit = sample.count(), max(1, max_bytes // WINDOW)
+    part = F.shiftrightunsigned(F.xxhash64("w", "lang"), 12).cast("double") / float(1 << 52) < (min(1.0, 0.9 * limit / n) if n else 1.0)
+    got = sorted((r.lang, bytes(r.w)) for r in sample.where(part).collect())
     languages = sorted({lang for lang, _ in got})
     model = ByteCnn(languages)
     x, y, rng = [], [], np.random.default_rng(5)
@@ -167,7 +179,11 @@ def _predict(broadcast):
 
 
 def identify(docs: DataFrame, model: ByteCnn) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score). Null texts and texts without a letter are ``und`` with score 0;
-    so is everything if there was nothing to learn from."""
+    """(doc_id, held_out, lang_pred, score), one row a document, repeated rows included.
+
+    Null texts and texts without a letter (general category L) are ``und`` with score 0; so is everything if there was
+    nothing to learn from. Equal texts have equal predictions; of equal probabilities the language that sorts first
+    wins. Other columns play no part, so none can clash.
+    """
     predict = _predict(docs.sparkSession.sparkContext.broadcast(model))
     return docs.select("doc_id", held_out(docs[quoted("doc_id")]).alias("held_out"), predict(docs[quoted("text")]).alias("p")).select("doc_id", "held_out", "p.*")

@@ -3,7 +3,8 @@
 Every source has a weight schedule, a piecewise linear function of training time t in [0, 1]. Its
 integral is the source's weight; the part of the integral before t, times the source's target, is
 the demand for its words until t. Documents are put in a fixed random order within their source, and
-the words before a document, inverted through the demand, give its training position.
+the words before a document, inverted through the demand, give its training position. A source that is
+read more than once goes on in the same order, so every pass of a document has a position of its own.
 
 The running sum of a source is taken in two levels, over slices of the random order and inside each
 slice, so that no source meets in one task. Everything is DataFrame work.
@@ -95,15 +96,16 @@ def plan_sources(sized: DataFrame, schedules=SCHEDULES, share: float = SHARE, mo
 
 
 def mix(docs: DataFrame, schedules=SCHEDULES, share: float = SHARE, most: float = MOST, slices: int = SLICES) -> DataFrame:
-    """One row a document with the whole mix: doc_id, source, size, source_size, target, taken, passes, extra, position.
+    """One row a document with the whole mix: doc_id, source, size, source_size, target, taken, passes, extra, position, positions.
 
     A source whose target is above its size is read in whole passes, and the last, partial pass takes
     documents in the source's order until the target is reached; the document at the end of it is
     taken up to that word. ``passes`` counts the whole passes, ``extra`` the words of the partial one,
-    ``position`` is the training position in [0, 1] of the document's first word (null if nothing is
-    taken). Null texts have size 0 and are never taken; null sources form a source of their own, the
+    ``positions`` are the training positions in [0, 1] of the document's first word in each pass that takes of it, in
+    order, and ``position`` is the first of them (null if nothing is taken). Null texts have size 0 and are never taken; null sources form a source of their own, the
     last one. The order inside a source is the hash of id and text; where both are equal, either row may
-    come first, which no column shows but which of two equal rows is taken.
+    come first, which no column shows but which of two equal rows is taken. Other columns play no part, so none can
+    clash. An empty table gives no rows.
     """
     sized = docs.select(
         "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size"),
@@ -123,11 +125,14 @@ def mix(docs: DataFrame, schedules=SCHEDULES, share: float = SHARE, most: float
     passes = F.when(F.col("source_size") > 0, F.floor(words / F.greatest("source_size", F.lit(1)))).otherwise(0).cast("long")
     extra = F.greatest(F.lit(0), F.least("size", words - F.col("passes") * F.col("source_size") - F.col("start"))).cast("long")
     rows = rows.withColumn("passes", passes).withColumn("extra", extra).withColumn("taken", F.col("passes") * F.col("size") + F.col("extra"))
-    return rows.withColumn("position", F.when(F.col("taken") > 0, position(F.col("start"), schedules))).drop("schedule", "start").select(
-        "doc_id", "source", "size", "source_size", "target", "taken", "passes", "extra", "position")
+    turns = F.when(F.col("size") > 0, F.col("passes") + F.when(F.col("extra") > 0, 1).otherwise(0)).otherwise(0)
+    starts = F.transform(F.slice(F.sequence(F.lit(0).cast("long"), F.greatest(turns, F.lit(1)) - 1), F.lit(1), turns.cast("int")), lambda p: F.col("start") + p * F.col("source_size"))
+    return rows.withColumn("positions", F.transform(starts, lambda s: position(s, schedules))).select(
+        "doc_id", "source", "size", "source_size", "target", "taken", "passes", "extra", F.get("positions", F.lit(0)).alias("position"), "positions")
 
 
 def position(start: Column, schedules=SCHEDULES) -> Column:
+    """The training position at which ``start`` words of the source have gone by."""
     q = start / F.greatest(F.col("target"), F.lit(1.0))
     out = F.lit(None).cast("double")
     for i, knots in enumerate(schedules):
@@ -135,6 +140,17 @@ def position(start: Column, schedules=SCHEDULES) -> Column:
     return out
 
 
-def training_order(mixed: DataFrame) -> DataFrame:
-    """The mix, range-sorted by training position; documents that are not taken come last."""
+def by_position(mixed: DataFrame) -> DataFrame:
+    """The mix, one row a document, range-sorted by its first training position; documents that are not taken come last."""
     return mixed.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def training_order(mixed: DataFrame) -> DataFrame:
+    """(position, doc_id, source, pass, words): what is read when, range-sorted; one row for each pass of a document.
+
+    Words are the document's size in whole passes and ``extra`` in the last, partial one. Of equal positions the
+    smaller id comes first.
+    """
+    return mixed.select("doc_id", "source", "size", "passes", "extra", F.posexplode("positions").alias("pass", "at")).select(
+        F.col("at").alias("position"), "doc_id", "source", "pass", F.when(F.col("pass") < F.col("passes"), F.col("size")).otherwise(F.col("extra")).alias("words")
+    ).orderBy("position", "doc_id", "pass")

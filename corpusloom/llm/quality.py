@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import quoted, uniform, written
+from .common import quoted, row_key, uniform, without, written
 
 BUCKETS, PRIOR = 1 << 14, 50.0
 #: The target's model is fitted on at most so many documents labelled good, drawn by a hash of the id.
@@ -98,12 +98,15 @@ def _weights(broadcast):
     return weights
 
 
-def keyed(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds ``__weight`` and ``__key`` = weight + Gumbel noise, which depends on id and text only."""
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, row_key, weight, key): key is the weight plus Gumbel noise, which depends on id and text only.
+
+    Null and empty texts have weight 0; repeated rows have equal keys; other columns play no part.
+    """
     weights = _weights(docs.sparkSession.sparkContext.broadcast(model))
     text, doc_id = docs[quoted("text")], docs[quoted("doc_id")]
-    noise = -F.log(-F.log(uniform(doc_id, F.xxhash64(text), F.lit(4))))
-    return docs.withColumn("__weight", weights(text)).withColumn("__key", F.col("__weight") + noise)
+    rows = docs.select(doc_id.alias("doc_id"), row_key(docs).alias("row_key"), weights(text).alias("weight"), uniform(doc_id, F.xxhash64(text), F.lit(4)).alias("u"))
+    return rows.select("doc_id", "row_key", "weight", (F.col("weight") - F.log(-F.log("u"))).alias("key"))
 
 
 def kth_largest(rows: DataFrame, column: str, k: int, bins: int = 4096, few: int = 10_000) -> float:
@@ -137,11 +140,14 @@ def resample(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, prior:
 
     Null and empty texts have weight 0. Rows with equal id and text have equal keys and share their
     fate: at the last place all of them are drawn. Without documents nothing is drawn, without
-    labelled good ones everything is.
+    labelled good ones everything is. Texts are scored once; the rows to keep are then told by their keys, without a
+    shuffle. Further columns may have any names.
     """
     model = fit(docs, labels, buckets, prior)
-    scores = written(keyed(docs.select("doc_id", "text"), model).select("doc_id", F.col("__weight").alias("weight"), F.col("__key").alias("key")), "quality")
+    scores = written(scored(docs, model), "quality")
     k = scores.agg(F.sum(F.least(F.lit(1.0), F.lit(model.share) * F.exp(F.least("weight", F.lit(50.0)))))).first()[0] or 0.0
     cut = kth_largest(scores, "key", int(round(k)))
-    kept = keyed(docs, model).where(F.col("__key") >= F.lit(cut)).drop("__key", "__weight")
-    return scores.withColumn("kept", F.col("key") >= F.lit(cut)), kept
+    drawn = F.col("key") >= F.lit(cut)
+    surely, looked_up = without(
+        docs, row_key(docs), scores.where(~drawn).select(F.col("row_key").alias("key")), scores.where(drawn).select(F.col("row_key").alias("key")))
+    return scores.select("doc_id", "weight", "key", drawn.alias("kept")), surely.union(looked_up)

@@ -27,7 +27,8 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
-    return mixing.training_order(mixed).select("doc_id", "size", "source_size", "target", "taken", "source", "passes", "extra", F.round("position", 6).alias("position"))
+    positions = F.transform("positions", lambda p: F.round(p, 6)).alias("positions")
+    return mixing.by_position(mixed).select("doc_id", "size", "source_size", "target", "taken", "source", "passes", "extra", F.round("position", 6).alias("position"), positions)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +58,7 @@ def op7_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
-    return toxicity.score(docs, model).select("doc_id", "__toxicity.*")
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", "__toxicity.*")
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,15 +107,16 @@ listed AS (SELECT *, CASE
     WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
     WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/'
     WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule,
-    list_transform(regexp_extract_all(lower(host || path), '[a-z0-9]+'), lambda x: x) AS tokens FROM u),
-words AS (SELECT page_id, max(w) FILTER (w IS NOT NULL) AS any_word FROM (SELECT page_id, unnest(tokens) AS w FROM listed)
-    WHERE w IN ('casino', 'pills', 'spam', 'adult', 'xxx', 'porn', 'bets', 'viagra', 'ads', 'warez', 'torrents') GROUP BY page_id)
+    CASE PATTERNS END AS any_pattern FROM u)
 SELECT page_id, host, path, rule,
     CASE WHEN rule IN ('example.org/en/1', 'example.org/es/', 'com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-         WHEN any_word IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
-    CASE WHEN rule IS NULL THEN any_word END AS pattern
-FROM listed LEFT JOIN words USING (page_id)""",
+         WHEN any_pattern IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+    CASE WHEN rule IS NULL THEN any_pattern END AS pattern
+FROM listed""",
 }
+# every pattern is run on every page here, the smaller name first; the operator runs only those that its index fetches
+ORACLES["op9_urls"] = ORACLES["op9_urls"].replace("PATTERNS", " ".join(
+    f"WHEN regexp_matches(host || path, '{r.regex}') THEN '{r.name}'" for r in sorted(urls.RULES, key=lambda r: r.name) if not r.listed))
 
 _BLANK_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 #: An exact join on shingles, without bands or sketches.
@@ -128,6 +130,28 @@ r AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
 c AS (SELECT x, min(y) AS low FROM r GROUP BY x)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, low) AS component_id, doc_id <= coalesce(low, doc_id) AS kept FROM s LEFT JOIN c ON x = doc_id"""
 
+_TEMPLATES = ", ".join(f"({t}, '{label}', '{passage}', '{keys[0]}')" for t, (label, passage, keys) in enumerate(licenses.TEMPLATES))
+_PHRASES = ", ".join(f"('{phrase}', '{label}')" for phrase, label in licenses.BASE)
+#: Every place of every template is compared word by word here; rarest words are counted over all documents, as the index does.
+ORACLES["op10_licenses"] = rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+e AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM d),
+t AS (SELECT *, string_split(passage, ' ') AS p FROM (VALUES {_TEMPLATES}) x(t, label, passage, key)),
+tw AS (SELECT t, unnest(p) AS word, unnest(range(len(p))) AS pos FROM t),
+df AS (SELECT word, count(DISTINCT doc_id) AS n FROM e WHERE word IN (SELECT word FROM tw) GROUP BY word),
+rare AS (SELECT t, word FROM (SELECT DISTINCT t, word FROM tw) LEFT JOIN df USING (word) QUALIFY row_number() OVER (PARTITION BY t ORDER BY coalesce(n, 0), word) <= {licenses.RARE_WORDS}),
+v AS (SELECT doc_id, tw.t, i - pos AS start, count(*) AS same, count(DISTINCT rare.word) AS agree FROM e JOIN tw USING (word) LEFT JOIN rare ON rare.t = tw.t AND rare.word = tw.word GROUP BY ALL),
+m AS (SELECT doc_id, label, same / len(p)::DOUBLE AS share FROM v JOIN t USING (t) JOIN d USING (doc_id)
+    WHERE same / len(p)::DOUBLE >= {licenses.LEAST} AND agree >= least({licenses.AGREE}, len(list_distinct(p)))
+    AND contains(' ' || array_to_string(w[greatest(start, 0) + 1 : start + len(p)], ' ') || ' ', ' ' || key || ' ')),
+b AS (SELECT doc_id, label, unnest(list_filter(range(len(w)), lambda i: array_to_string(w[i + 1 : i + len(string_split(phrase, ' '))], ' ') = phrase)) AS pos FROM d, (VALUES {_PHRASES}) x(phrase, label)),
+bs AS (SELECT doc_id, count(*) AS n, min(pos) AS low, max(pos) AS high, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM b GROUP BY doc_id),
+ls AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM b UNION SELECT doc_id, label FROM m) GROUP BY doc_id),
+ms AS (SELECT doc_id, max(share) AS share FROM m GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, low AS first_word, high AS last_word, coalesce(bs.labels, '') AS base_labels, coalesce(ls.labels, '') AS labels,
+    CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN bs USING (doc_id) LEFT JOIN ls USING (doc_id) LEFT JOIN ms USING (doc_id)"""
+
 
 def _sql_inverse(knots) -> str:
     """``mixing.inverse`` of ``q`` in SQL."""
@@ -155,8 +179,9 @@ l AS (SELECT arg_min(level, k) AS level FROM c WHERE level < stops),
 t AS (SELECT c.source, source_size, schedule, coalesce(least(most, weight * l.level), most) AS target FROM c, l),
 r AS (SELECT doc_id, d.source, size, source_size, schedule, target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS passes, start / greatest(target, 1) AS q FROM r),
-e AS (SELECT *, greatest(0, least(size, floor(target)::BIGINT - passes * source_size - start)) AS extra FROM p)
-SELECT doc_id, size, source_size, target, (passes * size + extra)::BIGINT AS taken, source, passes::BIGINT AS passes, extra::BIGINT AS extra,
-    round(CASE WHEN passes * size + extra > 0 THEN CASE schedule {_POSITION} END END, 6) AS position
-FROM e"""
+p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS passes FROM r),
+e AS (SELECT *, greatest(0, least(size, floor(target)::BIGINT - passes * source_size - start)) AS extra FROM p),
+f AS (SELECT *, list_transform(range(CASE WHEN size > 0 THEN passes + CASE WHEN extra > 0 THEN 1 ELSE 0 END ELSE 0 END), lambda k: (start + k * source_size) / greatest(target, 1)) AS qs FROM e),
+g AS (SELECT *, list_transform(qs, lambda q: round(CASE schedule {_POSITION} END, 6)) AS positions FROM f)
+SELECT doc_id, size, source_size, target, (passes * size + extra)::BIGINT AS taken, source, passes::BIGINT AS passes, extra::BIGINT AS extra, positions[1] AS position, positions
+FROM g"""

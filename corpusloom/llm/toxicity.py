@@ -5,8 +5,8 @@ one weight vector for all thresholds t_1 <= t_2. Features are words of the whole
 of those that the labelled sample ties to toxicity. The expected severity is the sum of both
 probabilities; a document is rejected if P(grade >= 1) is at least 1/2.
 
-Labels only say toxic or not. A toxic document of the sample is severe if the sum of its features is
-above the median of the toxic ones.
+Labels only say toxic or not, so grade 2 is a stand-in: a toxic document of the sample counts as severe if the sum of
+its features is above the median of the toxic ones. Give ``fit_ordinal`` grades of one's own where there are some.
 """
 
 from __future__ import annotations
@@ -19,12 +19,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import alnum_words, held_out, quoted
+from .common import alnum_words, free_name, held_out, quoted
 
-#: The labelled sample: at most so many documents of either kind, drawn by a hash of the text, and features.
-MAX_TRAIN_DOCS, MAX_FEATURES, MAX_TEXT_BYTES = 4000, 512, 1 << 20
+#: Bounds of the labelled sample: documents of either kind, features, bytes of a text, and bytes of all texts of a kind.
+MAX_TRAIN_DOCS, MAX_FEATURES, MAX_TEXT_BYTES, MAX_SAMPLE_BYTES = 4000, 512, 1 << 20, 32 << 20
 
 
 @dataclass
@@ -104,11 +105,15 @@ def fit_ordinal(x: np.ndarray, grades: np.ndarray, weight: np.ndarray, steps: in
     return params[:-2], np.array([params[-2], params[-2] + np.exp(np.clip(params[-1], -20, 5))])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_features: int = MAX_FEATURES, max_text_bytes: int = MAX_TEXT_BYTES, keep_out: bool = True) -> OrdinalModel:
-    """Fits on a bounded sample: at most ``max_docs`` labelled toxic and as many other documents, drawn by a
-    hash of the text; texts over ``max_text_bytes`` are not learned from. Documents whose crc32 is
-    divisible by 5 are left out for measuring, unless ``keep_out`` is false. With no toxic label
-    nothing is toxic."""
+def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, max_features: int = MAX_FEATURES, max_text_bytes: int = MAX_TEXT_BYTES, keep_out: bool = True, max_bytes: int = MAX_SAMPLE_BYTES) -> OrdinalModel:
+    """Fits on a bounded sample: at most ``max_docs`` labelled toxic and as many other documents, drawn by a hash of the
+    id, as long as their texts have at most ``max_bytes`` together for either kind, which is all that comes to the
+    driver. Texts over ``max_text_bytes`` are not learned from, and texts of one label with equal sets of words count
+    once. Documents whose id's crc32 is divisible by 5 are left out for measuring, unless ``keep_out`` is false.
+
+    Of several labels of an id the highest counts; of several texts of an id the shortest, then that of the smallest
+    hash; null ids, labels and texts are not learned from. With no toxic label nothing is toxic.
+    """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     rows = docs.select("doc_id", "text").where(F.octet_length("text") <= max_text_bytes)
@@ -119,7 +124,10 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, ma
     for toxic, n in counts.items():
         rate = F.when(F.col("toxic") == toxic, min(1.0, 0.9 * max_docs / n)).otherwise(rate)
     drawn = known.where(u < rate).limit(2 * max_docs)  # bounded, so it is broadcast and no text is shuffled
-    got = rows.join(F.broadcast(drawn), "doc_id").select("toxic", "text").limit(2 * max_docs).collect()
+    sizes = rows.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.octet_length("text").alias("n"), F.xxhash64("text").alias("k"))).alias("t"))
+    upto = F.sum("t.n").over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))  # of at most 2 * max_docs rows
+    chosen = sizes.withColumn("upto", upto).where(F.col("upto") <= max_bytes).select("doc_id", "toxic", "t.k")
+    got = rows.join(F.broadcast(chosen), "doc_id").where(F.xxhash64("text") == F.col("k")).groupBy("doc_id", "toxic").agg(F.first("text").alias("text")).collect()
     sets = one_of_copies(sorted(((r.toxic, alnum_words(r.text)) for r in got), key=lambda r: (r[0], r[1])))
     toxic, clean = [set(w) for t, w in sets if t], [set(w) for t, w in sets if not t]
     features = choose_features(toxic, clean, max_features)
@@ -152,6 +160,16 @@ def _severity(broadcast):
 
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
-    """``docs`` with ``__toxicity`` = (severity from 0 to 2, p_toxic, p_severe, grade, toxic). Null and empty
-    texts have no features, so they have the score of a text without a toxic word."""
-    return docs.withColumn("__toxicity", _severity(docs.sparkSession.sparkContext.broadcast(model))(docs[quoted("text")]))
+    """``docs`` with a last column (severity from 0 to 2, p_toxic, p_severe, grade, toxic), named ``__toxicity`` with
+    as many underscores after it as it takes to clash with no other.
+
+    Null and empty texts have no features, so they have the score of a text without a toxic word; equal texts have
+    equal scores, repeated rows stay; an empty table gives no rows.
+    """
+    return docs.withColumn(free_name(docs, "toxicity"), _severity(docs.sparkSession.sparkContext.broadcast(model))(docs[quoted("text")]))
+
+
+def drop_toxic(docs: DataFrame, model: OrdinalModel) -> DataFrame:
+    """``docs`` without those with P(grade >= 1) of 1/2 or more."""
+    scored = score(docs, model)
+    return scored.where(~F.col(scored.columns[-1])["toxic"]).select(*[F.col(quoted(c)) for c in docs.columns])

@@ -24,8 +24,13 @@ LIST = (
     ("allow", "com/fr/"),
     ("block", "com/de/"),
 )
-#: Words of hosts and paths that the method blocks, where the list has no rule.
-BLOCKED_WORDS = ("casino", "pills", "spam", "adult", "xxx", "porn", "bets", "viagra", "ads", "warez", "torrents")
+#: Patterns that the method blocks, where the list has no rule. ``^`` is a separator (anything but letters
+#: and digits, or an end), ``*`` any run of characters, ``||`` the start of a host's label.
+PATTERNS = (
+    "^adult^", "^ads^", "^bets^", "^casino^", "^pills^", "^porn^", "^spam^", "^torrents^", "^viagra^", "^warez^", "^xxx^",
+    "||ads*^banner^", "||click*/track/", "||cheap^*^online^pharmacy^", "^free^casino^bonus^", "^adult^dating^", "^work^from^home^",
+    "/affiliate/*/redirect^", "^download^full^crack^", "^payday^loans^", "^replica^watches^", "/out/*^sponsored^link^",
+)
 MAX_RULES_BROADCAST = 100_000
 
 
@@ -35,31 +40,58 @@ class Rule:
     verdict: str
     regex: str
     tokens: tuple[str, ...]
-    rank: int  # the highest rank that fits wins; then the smaller name
+    rank: int  # of the rules that fit, that of the highest rank decides; of equal ranks that of the smaller name
     listed: bool
 
 
 def list_rule(verdict: str, rule: str) -> Rule:
     """A rule of the list as a pattern: its host and all subdomains, and a prefix of the path.
 
-    Tokens that end where the rule ends may go on in a URL, so they are no literal tokens.
+    Tokens that end where the rule ends may go on in a URL, so they are no literal tokens. Tokens are lower-cased, as
+    those of URLs are, though paths are compared as they are written.
     """
     host, slash, path = rule.partition("/")
-    tokens = re.findall(TOKEN, host.lower()) + [m[0] for m in re.finditer(TOKEN, path) if m.end() < len(path)]
+    host, low = ascii_lower(host), ascii_lower(path)
+    tokens = re.findall(TOKEN, host) + [m[0] for m in re.finditer(TOKEN, low) if m.end() < len(low)]
     return Rule(rule, verdict, rf"^([^/]*\.)?{re.escape(host)}{re.escape(slash + path)}", tuple(tokens), 1000 + len(rule), True)
 
 
-def word_rule(word: str) -> Rule:
-    return Rule(word, "block", rf"(?i)(^|[^a-z0-9]){re.escape(word)}([^a-z0-9]|$)", (word,), 0, False)
+def pattern_rule(pattern: str, verdict: str = "block", rank: int = 0) -> Rule:
+    """A pattern as a rule. Its literal tokens are those that no ``*`` and no open end can make part of a longer one; a
+    pattern without any cannot be indexed and is an error."""
+    low = ascii_lower(pattern)
+    tokens, body = [], low.removeprefix("||")
+    for m in re.finditer(TOKEN, body):
+        before, after = body[: m.start()][-1:], body[m.end() :][:1]
+        if (before not in ("", "*") or low != body and not m.start()) and after not in ("", "*"):
+            tokens.append(m[0])
+    if not tokens:
+        raise ValueError(f"pattern {pattern!r} has no whole literal token")
+    pieces = [p for p in re.split(r"(\^+|\*)", body) if p]
+    parts = []
+    for i, piece in enumerate(pieces):
+        if piece.startswith("^"):
+            parts.append("(?:^|[^a-z0-9])" if not i else "(?:[^a-z0-9]|$)" if i == len(pieces) - 1 else "[^a-z0-9]+")
+        else:
+            parts.append(".*" if piece == "*" else re.escape(piece))
+    start = r"^(?:[^/]*\.)?" if low != body else ""
+    return Rule(pattern, verdict, "(?is)" + start + "".join(parts), tuple(tokens), rank, False)
+
+
+def ascii_lower(text: str) -> str:
+    return text.translate({c: c + 32 for c in range(ord("A"), ord("Z") + 1)})
 
 
-RULES = tuple(list_rule(*x) for x in LIST) + tuple(map(word_rule, BLOCKED_WORDS))
+RULES = tuple(list_rule(*x) for x in LIST) + tuple(map(pattern_rule, PATTERNS))
 
 
 def host_of(url: Column) -> Column:
     """What stands after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; else empty."""
-    host = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
-    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return _lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
+
+
+def _lower(c: Column) -> Column:
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def path_of(url: Column) -> Column:
@@ -85,9 +117,10 @@ def indexed(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
 def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, default: str = "allow") -> DataFrame:
     """(page_id, host, path, rule, verdict, pattern) for every row of ``pages`` (page_id, url).
 
-    ``rule`` is the rule of the list that decided (null if none fits), ``pattern`` the rule of the
-    method that did. A null URL, or one without ``://``, has an empty host and path, fits no rule and
-    gets the default; equal URLs get equal verdicts; an empty table gives no rows.
+    ``rule`` is the rule of the list that decided (null if none fits), ``pattern`` the pattern of the
+    method that did. Of rules that fit, the highest rank decides, then the smaller name. A null URL, or
+    one without ``://``, has an empty host and path, fits no rule and gets the default; equal URLs get
+    equal verdicts and repeated rows stay; an empty table gives no rows; other columns play no part.
 
     Each different URL is judged once, in the partition to which its grouping brought it. The rules
     are broadcast, as many as the code lists, up to ``MAX_RULES_BROADCAST``; longer lists are joined
@@ -95,11 +128,11 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, default: str = "allow
     """
     target = F.concat(host_of(F.col("url")), path_of(F.col("url")))
     urls = pages.select("url").where("url is not null").groupBy("url").agg(F.count("*").alias("pages")).select(
-        "url", target.alias("target"), F.array_distinct(F.regexp_extract_all(F.lower(target), F.lit(f"({TOKEN})"), F.lit(1))).alias("tokens"))
+        "url", target.alias("target"), F.array_distinct(F.regexp_extract_all(_lower(target), F.lit(f"({TOKEN})"), F.lit(1))).alias("tokens"))
     index = indexed(urls, rules)
     if len(rules) <= MAX_RULES_BROADCAST:
         index = F.broadcast(index)
-    best = F.max(F.struct("rank", F.hash("name"), "name", "verdict", "listed")).alias("best")
+    best = F.min(F.struct(-F.col("rank"), "name", "verdict", "listed")).alias("best")
     hits = (
         urls.select("url", "target", F.explode("tokens").alias("token")).join(index, "token")
         .where(F.expr("rlike(target, regex)")).groupBy("url").agg(best)

@@ -30,6 +30,7 @@ from pyspark.sql.datasource import (
 )
 
 from . import storage
+from .common import maybe_wanted, written
 
 #: ``offset`` and ``length`` are those of the record or gap in the file or, in a compressed one, of its gzip member;
 #: ``inner`` and ``inner_length`` then tell its place in the member's content.
@@ -457,21 +458,26 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     Of rows with equal payloads of at least ``min_bytes`` bytes, those with the smallest page_id are
     response records, all others revisit records without a block that refer to it. A null html is an
     empty payload; a null page_id is larger than any other, and rows that share the smallest page_id
-    and the payload are all responses. The smallest page_id of a payload comes from partial minima;
-    the join that brings it back has one row a payload on its small side, so AQE can split a payload
-    that a large share of the rows has.
+    and the payload are all responses. The smallest page_id of a payload comes from partial minima.
+    Payloads that many rows have get it back by a broadcast; rows whose payload a bitmap tells to be their own are
+    written where they are read; only the others, copies of a few, are shuffled. Other columns play no part.
     """
     pages.sparkSession.dataSource.register(Warc)
     rows = pages.select(
         "page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")
     ).withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_sha1": F.sha1("payload")})
-    first = (
-        rows.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_sha1", "payload_bytes")
-        .agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    )
+    sums = ["payload_sha1", "payload_bytes"]
+    first = written(
+        rows.where(F.col("payload_bytes") >= min_bytes).groupBy(*sums).agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1"), "first")
+    hot = F.col("n") > max(1000, (first.agg(F.sum("n")).first()[0] or 0) // 100_000)  # at most 100,000 payloads
+    rest = first.where(~hot).drop("n")
+    known = rows.join(F.broadcast(first.where(hot).drop("n")), sums, "left")
+    keys = written(rest.select(F.xxhash64(*sums).alias("key")), "keys")
+    marked = maybe_wanted(known, F.xxhash64(*sums), keys, "maybe").withColumn("maybe", F.col("maybe") & F.col("first_id").isNull())
+    found = marked.where(~F.col("maybe")).drop("maybe").unionByName(marked.where("maybe").drop("maybe", "first_id").join(rest, sums, "left"), allowMissingColumns=True)
     again = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     (
-        rows.join(first, ["payload_sha1", "payload_bytes"], "left")
+        found
         .select(
             _urn(F.col("page_id")).alias("record_id"), F.col("url").alias("target_uri"),
             F.when(~again, F.col("payload")).alias("payload"), "payload_bytes", "payload_sha1",

@@ -1,14 +1,20 @@
 """Operators on Spark, against brute force, with nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import base64
+import collections
 import hashlib
 import importlib
+import math
 import random
 import re
+import struct
+import unicodedata
 import zipfile
 import zlib
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from corpusloom.llm import common, decontaminate, language, licenses, media, mixing, neardup, quality, queries, toxicity, urls, warc
@@ -39,7 +45,14 @@ TEXTS = (
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(i, t, ["en", "de", None][k % 3], ["b", "a", None, "c"][k % 4], len(t or "")) for k, (i, t) in enumerate(TEXTS)]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumn("TAKEN", F.lit(1)).withColumn("node", F.lit("x"))
+    out = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in CLASHES:
+        out = out.withColumn(name, F.lit("x"))
+    return out
+
+
+#: Names that operators use, or could, for columns of their own, in other cases too.
+CLASHES = ["TAKEN", "node", "key", "__toxicity", "__HITS", "__hits_", "__weight", "__key", "__gone_id", "__maybe", "__Stay", "__piece", "__bitmap", "__doc", "__row", "row", "m", "group", "__f"]
 
 
 @pytest.fixture(scope="module")
@@ -62,6 +75,17 @@ def test_media(spark, docs, tmp_path):
     rows = media.media_features(media.read_media(spark, path, rangeBytes=2000)).collect()
     want = sorted((len(d := (t or "").encode()), hashlib.sha256(media.padded(d)).hexdigest(), zlib.crc32(media.padded(d)[-64:])) for _, t in TEXTS)
     assert sorted((r.n_bytes, r.payload_sha256, r.tail_crc32) for r in rows) == want
+    for r in rows:  # brute force of the stored form and the features
+        samples = media.padded((dict(TEXTS)[int(r.member[8:-4])] or "").encode()) if "null" not in r.member else None
+        if samples is not None:
+            png = media.encode_png((dict(TEXTS)[int(r.member[8:-4])] or "").encode())
+            assert (r.media_bytes, r.media_sha256) == (len(png), hashlib.sha256(png).hexdigest())
+            shares = [n / len(samples) for n in collections.Counter(samples).values()]
+            mean = sum(samples) / len(samples)
+            deviation = math.sqrt(sum((x - mean) ** 2 for x in samples) / len(samples))
+            bright = sum(1 << i for i in range(64) if sum(samples[i::64]) / (len(samples) // 64) > mean)
+            want_f = [abs(-sum(p * math.log2(p) for p in shares)), mean, deviation]
+            assert [float(x.split("=")[1]) for x in r.feature.split(";")[:3]] == pytest.approx(want_f, abs=6e-4) and r.feature.endswith(f"columns={bright:016x}")
     # one damaged member costs itself only
     archive = next((tmp_path / "m").glob("*.zip"))
     data = bytearray(archive.read_bytes())
@@ -132,6 +156,8 @@ def test_decontaminate(docs, benchmark, most):
     got = decontaminate.contamination_report(docs, benchmark, max_broadcast_bytes=most).collect()
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(map(tuple, got), key=key) == sorted(((i, *brute_hits(t, items)) for i, t in TEXTS), key=key)
+    found = decontaminate.find_contamination(docs, benchmark, max_broadcast_bytes=most)
+    assert found.columns[:-1] == docs.columns and found.columns[-1] not in docs.columns
     kept = decontaminate.decontaminate(docs, benchmark, max_broadcast_bytes=most)
     assert kept.columns == docs.columns and kept.count() == sum(not brute_hits(t, items)[4] for _, t in TEXTS)
     assert decontaminate.contamination_report(docs, empty(benchmark), max_broadcast_bytes=most).where("contaminated").count() == 0
@@ -168,7 +194,30 @@ def test_mix(docs):
         assert all(r.source_size == sizes[s] and r.target == pytest.approx(target[s]) and 0 <= r.taken <= 2 * r.size for r in own)
         assert abs(sum(r.taken for r in own) - target[s]) <= 1
     assert all((r.position is None) == (r.taken == 0) and (r.position is None or 0 <= r.position <= 1) for r in rows)
-    assert mixing.mix(empty(docs)).count() == 0
+    for r in rows:
+        assert len(r.positions) == (r.passes + (r.extra > 0) if r.size else 0) and r.positions == sorted(r.positions) and all(0 <= p <= 1 for p in r.positions)
+        assert r.position == (r.positions[0] if r.positions else None)
+    turns = mixing.training_order(mixing.mix(docs)).collect()
+    assert sum(t.words for t in turns) == sum(r.taken for r in rows) and [t.position for t in turns] == sorted(t.position for t in turns)
+    assert mixing.mix(empty(docs)).count() == 0 and mixing.training_order(mixing.mix(empty(docs))).count() == 0
+
+
+def test_mix_follows_its_schedules(spark):
+    """In each tenth of the training every source has the share of its target that its schedule gives, in all passes."""
+    sizes = [(i, " ".join(["w"] * random.Random(i).randrange(5, 40)), "abcd"[min(3, i % 11)]) for i in range(12000)]
+    mixed = mixing.mix(spark.createDataFrame(sizes, "doc_id long, text string, source string"))
+    targets = {r.source: (r.target, r.passes) for r in mixed.groupBy("source").agg(F.first("target").alias("target"), F.max("passes").alias("passes")).collect()}
+    assert max(p for _, p in targets.values()) == 2
+    got = {(r.source, r.tenth): r.words for r in mixing.training_order(mixed).groupBy("source", F.least(F.floor(F.col("position") * 10), F.lit(9)).alias("tenth")).agg(F.sum("words").alias("words")).collect()}
+    for k, s in enumerate(sorted(targets)):
+        knots = mixing.SCHEDULES[k % 3]
+        for tenth in range(10):
+            area = 0.0
+            for (t0, w0), (t1, w1) in zip(knots, knots[1:]):
+                a, b = max(t0, tenth / 10), min(t1, (tenth + 1) / 10)
+                if b > a:
+                    area += (b - a) * (w0 + (w1 - w0) * ((a + b) / 2 - t0) / (t1 - t0))
+            assert got.get((s, tenth), 0) / targets[s][0] == pytest.approx(area / mixing.integral(knots), abs=0.01)
 
 
 def test_schedule_is_inverted(spark):
@@ -194,6 +243,52 @@ def test_quality(spark, docs, labels):
     assert quality.resample(docs, empty(labels))[1].count() == len(TEXTS) and quality.resample(empty(docs), labels)[1].columns == docs.columns
 
 
+def spark_hash(*parts: bytes) -> int:
+    """xxhash64 of several values as Spark chains it."""
+    h = 42
+    for p in parts:
+        h = xxhash.xxh64_intdigest(p, h)
+    return h
+
+
+def test_quality_against_brute_force(spark):
+    """Models, weights, Gumbel keys and the cut of 200 documents, worked out again with plain counters."""
+    draw = random.Random(4)
+    texts = {i: " ".join(draw.choices(WORDS[:40] if i % 3 else WORDS[30:80], k=draw.randrange(1, 60))) + "!" * (i % 4) for i in range(200)}
+    texts[0], texts[1] = "", None
+    good = {i for i in range(0, 200, 2) if i % 3}
+    d = spark.createDataFrame([*texts.items(), (5, texts[5])], "doc_id long, text string").withColumn("__key", F.lit(1))
+    lab = spark.createDataFrame([(i, int(i in good)) for i in range(0, 200, 2)], "doc_id long, quality int")
+    buckets, prior = 64, 2.0
+
+    def grams(text):
+        tokens = re.findall(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+", (text or "").encode())
+        mask = (1 << 64) - 1
+        h = [zlib.crc32(t) * 0x9E3779B97F4A7C15 & mask for t in tokens]
+        both = h + [((a ^ 0xD6E8FEB86659FD93) * 0xFF51AFD7ED558CCD + b * 0xC4CEB9FE1A85EC53) & mask for a, b in zip(h, h[1:])]
+        return [(((x ^ x >> 31) * 0x9E3779B97F4A7C15 & mask) >> 40) % buckets for x in both]
+
+    rows = [*texts.items(), (5, texts[5])]
+    raw = collections.Counter(g for _, t in rows for g in grams(t))
+    target = collections.Counter(g for i, t in rows if i in good for g in grams(t))
+    n, m = sum(raw.values()), sum(target.values())
+    ratio = {g: math.log((target[g] + prior) / (raw[g] / n * m + prior)) for g in raw}
+    want = []
+    for i, t in rows:
+        weight = sum(ratio[g] for g in grams(t))
+        text_hash = struct.pack("<q", (lambda u: u - (1 << 64) if u >> 63 else u)(spark_hash(t.encode()) if t is not None else 42))
+        u = ((spark_hash(struct.pack("<q", i), text_hash, struct.pack("<i", 4)) >> 12) + 0.5) / (1 << 52)
+        want.append((i, weight, weight - math.log(-math.log(u))))
+    k = round(sum(min(1.0, len(good) / 100 * math.exp(min(w, 50.0))) for _, w, _ in want))
+    cut = sorted((x for _, _, x in want), reverse=True)[k - 1]
+    scores, kept = quality.resample(d, lab, buckets, prior)
+    got = sorted((r.doc_id, r.weight, r.key, r.kept) for r in scores.collect())
+    assert 20 < k < 180 and [g[0] for g in got] == sorted(i for i, _, _ in want)
+    for g, w in zip(got, sorted(want)):
+        assert g[1:3] == pytest.approx(w[1:], abs=1e-9) and g[3] == (w[2] >= cut)
+    assert kept.columns == d.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _, x in want if x >= cut)
+
+
 def test_kth_largest(spark):
     rows = spark.range(5000).select((F.hash("id") % 1000 / 7.0).alias("x"))
     values = sorted((r.x for r in rows.collect()), reverse=True)
@@ -206,10 +301,20 @@ def test_toxicity(spark, docs, labels):
     d = spark.createDataFrame([*texts, (900, None), (901, "")], "doc_id long, text string")
     model = toxicity.train(d, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int"))
     got = {r.doc_id: r["__toxicity"] for r in toxicity.score(d, model).collect()}
+    for r in toxicity.score(d, model).collect():  # brute force: counts, one weight vector, two thresholds
+        words = re.findall(r"[0-9a-z\x80-\U0010ffff]+", (r.text or "").translate(LOWER))
+        z = sum(model.weights[i] * math.log(1 + words.count(w.decode())) for w, i in model.features.items())
+        p = [1 / (1 + math.exp(t - z)) for t in model.thresholds]
+        grades = (1 - p[0], p[0] - p[1], p[1])
+        assert min(grades) >= 0 and sum(grades) == pytest.approx(1) and r["__toxicity"].severity == pytest.approx(grades[1] + 2 * grades[2])
+    bounded = toxicity.train(d, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int"), max_bytes=2000)
+    assert len(bounded.features) <= len(model.features)
+    clean = toxicity.drop_toxic(docs, model)
+    assert clean.columns == docs.columns and clean.count() == len(TEXTS)
     assert all(got[i].toxic == (i % 4 == 0) for i in range(400)) and not got[900].toxic and not got[901].toxic
     assert all(0 <= x.severity <= 2 and x.p_severe <= x.p_toxic for x in got.values())
     none = toxicity.train(docs, empty(labels))
-    assert toxicity.score(docs, none).where("__toxicity.toxic").count() == 0 and toxicity.score(empty(docs), none).count() == 0
+    assert toxicity.score(docs, none).columns[-1] == "__toxicity_" and toxicity.score(docs, none).where("__toxicity_.toxic").count() == 0 and toxicity.score(empty(docs), none).count() == 0
 
 
 def test_language(spark, docs):
@@ -218,10 +323,35 @@ def test_language(spark, docs):
     assert len(rows) == len(TEXTS) and {r.lang_pred for r in rows} <= {"en", "de", "und"} and all(0 <= r.score <= 1 for r in rows)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows if r.doc_id is not None)
     assert {r.lang_pred for r in rows if r.doc_id in (300, 301, 302)} == {"und"}
+    again = language.train(docs.repartition(3))
+    assert all((again.p[k] == v).all() for k, v in model.p.items())
+    for r in rows:  # brute force: every filter at every place of every window
+        text = dict(TEXTS)[r.doc_id] if r.doc_id is not None else None
+        if text is not None and r.doc_id not in (305, 306):
+            assert (r.lang_pred, r.score) == (lambda x: (x[0], pytest.approx(x[1], abs=1e-5)))(brute_language(model, text))
+    only = language.train(docs, max_languages=1)
+    assert len(only.languages) == 1
+    signs = spark.createDataFrame([(1, "½ ² Ⅷ 12 _"), (2, "ª"), (3, "\u0301")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred == "und" for r in language.identify(signs, model).collect()} == {1: True, 2: False, 3: True}
     untaught = language.train(empty(docs))
     assert {r.lang_pred for r in language.identify(docs, untaught).collect()} == {"und"}
 
 
+def brute_language(net, text):
+    data = " ".join("".join(c if unicodedata.category(c)[0] == "L" else " " for c in text.lower()).split()).encode()
+    if not data:
+        return "und", 0.0
+    n = max(1, -(-len(data) // 256))
+    windows = [data.ljust(256)] if len(data) < 256 else [data[min(i * 256, len(data) - 256) :][:256] for i in range(n)]
+    total = np.zeros(len(net.languages))
+    for w in windows:
+        seen = net.p["E"][list(w)].astype(float)
+        best = np.max([seen[i : i + net.span].reshape(-1) @ net.p["W"] for i in range(256 - net.span + 1)], axis=0)
+        z = np.maximum(best + net.p["b"], 0) @ net.p["V"] + net.p["c"]
+        total += np.exp(z) / np.exp(z).sum()
+    return net.languages[int(total.argmax())], float(total.max() / len(windows))
+
+
 def brute_groups(rows):
     sets = []
     for _, t in rows:
@@ -258,6 +388,53 @@ def test_near_duplicates(docs, monkeypatch, block):
     assert neardup.near_duplicates(empty(docs)).count() == 0
 
 
+def test_near_duplicates_of_skewed_rows(spark):
+    """A third of all rows in one group of near copies, a third exact copies, rows that repeat; an exact join finds the same."""
+    draw = random.Random(8)
+    base = passage(120, 50)
+    rows = [(i, edited(base, draw.randrange(1, 9), i)) for i in range(300)] + [(1000 + i, base) for i in range(300)]
+    rows += [(2000 + i, passage(30 + i % 50, 3000 + i)) for i in range(250)] + [(3000 + i, edited(passage(30 + i % 50, 3000 + i), draw.randrange(1, 4), i)) for i in range(50)]
+    rows += [(5000, "same row here")] * 3 + [(None, "no id at all")] * 2 + [(None, "no id at all ")]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(d).collect()]
+    want = exact_groups(rows)
+    recall = len(set(got) & set(want)) / len(set(want))
+    assert recall >= 0.98 and sorted(map(str, got)) == sorted(map(str, want))
+    kept = sorted(map(str, neardup.drop_near_duplicates(d).collect()))
+    first = {}
+    for i, _, c in want:
+        if i is not None:
+            first.setdefault(c, min(j for j, _, x in want if x == c))
+    assert len(kept) == len(set(first.values())) + 1  # one row of each group, and one of those without an id
+
+
+def exact_groups(rows):
+    """Components of an exact join on shingles, by an inverted index."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").translate(LOWER).split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    where, root = collections.defaultdict(list), list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in enumerate(sets):
+        shared = collections.Counter(j for g in s for j in where[g])
+        for j, both in shared.items():
+            if 100 * both >= 75 * len(s | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+        for g in s:
+            where[g].append(i)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        if doc_id is not None:
+            least[find(i)] = min(doc_id, least.get(find(i), doc_id))
+    return [(doc_id, len(sets[i]), least.get(find(i))) for i, (doc_id, _) in enumerate(rows)]
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 200), (200, 300), (5, 5)], "a long, b long")
     got = {r.node: r.component for r in common.components(edges).collect()}
@@ -271,10 +448,28 @@ def test_urls(spark):
         (3, "http://badexample.org/es/1", "badexample.org", "/es/1", "org/", "allow"), (4, "http://a.com/fr/", "a.com", "/fr/", "com/fr/", "allow"), (5, "http://a.com/de/#x", "a.com", "/de/", "com/de/", "block"),
         (6, "http://cheap-pills.net/x", "cheap-pills.net", "/x", None, "block"), (7, "http://a.org", "a.org", "", None, "allow"), (8, None, "", "", None, "allow"), (9, "no scheme", "", "", None, "allow"),
         (10, "http://casino.org/x", "casino.org", "/x", "org/", "allow"), (10, "http://casino.org/x", "casino.org", "/x", "org/", "allow"), (11, "http://x.example.org/EN/1", "x.example.org", "/EN/1", "org/", "allow")]
+    cases += [
+        (12, "http://casino-xxx.net/", "casino-xxx.net", "/", None, "block"), (13, "http://spam-casino.net/", "spam-casino.net", "/", None, "block"),
+        (14, "http://ads7.x.net/a/banner", "ads7.x.net", "/a/banner", None, "block"), (15, "http://x.net/Free-CASINO-bonus", "x.net", "/Free-CASINO-bonus", None, "block"),
+        (16, "http://myads.net/banners", "myads.net", "/banners", None, "allow"), (17, "http://x.net/work/from/homes", "x.net", "/work/from/homes", None, "allow"), (18, "", "", "", None, "allow")]
     pages = spark.createDataFrame([c[:2] for c in cases], "page_id long, url string").withColumn("HOST", F.lit(1))
     got = urls.judge(pages)
     assert sorted(map(str, (tuple(r)[:5] for r in got.collect()))) == sorted(str(c[:1] + c[2:]) for c in cases)
+    pattern = {r.page_id: r.pattern for r in got.collect()}
+    assert (pattern[12], pattern[13], pattern[14], pattern[15], pattern[16]) == ("^casino^", "^casino^", "||ads*^banner^", "^casino^", None)
     assert urls.judge(empty(pages)).count() == 0
+    upper = [urls.list_rule("block", "a.com/Es/x/"), urls.list_rule("allow", "a.com/Es/x/Y/")]
+    mixed = spark.createDataFrame([(1, "http://a.com/Es/x/1"), (2, "http://a.com/es/x/1"), (3, "http://A.com/Es/x/Y/")], "page_id long, url string")
+    assert [(r.rule, r.verdict) for r in urls.judge(mixed, upper).orderBy("page_id").collect()] == [("a.com/Es/x/", "block"), (None, "allow"), ("a.com/Es/x/Y/", "allow")]
+    # brute force: every rule on every URL
+    draw = random.Random(2)
+    parts = ["casino", "free", "bonus", "ads", "banner", "online", "pharmacy", "cheap", "out", "sponsored", "link", "x", "com", "de", "fr", "track", "click9"]
+    many = [(i, "http://" + ".".join(draw.choices(parts, k=2)) + "/" + draw.choice("/-_").join(draw.choices(parts, k=draw.randrange(6)))) for i in range(800)]
+    for r in urls.judge(spark.createDataFrame(many, "page_id long, url string")).collect():
+        fits = sorted((-x.rank, x.name, x.verdict, x.listed) for x in urls.RULES if re.search(x.regex, r.host + r.path))
+        assert (r.verdict, r.rule or r.pattern) == ((fits[0][2], fits[0][1]) if fits else ("allow", None))
+    with pytest.raises(ValueError):
+        urls.pattern_rule("*x*")
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
 
 
@@ -287,8 +482,27 @@ def test_licenses(docs):
     assert licenses.scan_licenses(empty(docs)).count() == 0
 
 
+def test_pipeline_on_empty_tables(spark, docs, labels, benchmark, tmp_path):
+    pipeline = importlib.import_module("corpus_pipeline")
+    tables = {"documents": docs.drop(*CLASHES), "labels": labels, "benchmark": benchmark}
+    for bare in tables:
+        for name, df in tables.items():
+            (empty(df) if name == bare else df.limit(12)).write.parquet(str(tmp_path / bare / f"{name}.parquet"))
+        rows = pipeline.run(spark, str(tmp_path / bare)).count()
+        assert rows == 0 if bare == "documents" else rows > 0
+
+
+def test_each_stage_alone(spark, docs, labels, benchmark, tmp_path):
+    pipeline = importlib.import_module("corpus_pipeline")
+    for name, df in (("labels", labels), ("benchmark", benchmark)):
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() > 0 and (name == "mixing" or out.columns == docs.columns), name
+
+
 def test_pipeline(spark, docs, labels, benchmark, tmp_path):
-    for name, df in (("documents", docs.drop("TAKEN", "node")), ("labels", labels), ("benchmark", benchmark)):
+    for name, df in (("documents", docs.drop(*CLASHES)), ("labels", labels), ("benchmark", benchmark)):
         df.write.parquet(str(tmp_path / f"{name}.parquet"))
     pipeline = importlib.import_module("corpus_pipeline")
     rows = pipeline.run(spark, str(tmp_path)).collect()

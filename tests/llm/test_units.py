@@ -174,6 +174,28 @@ def test_ordinal_fit_is_cumulative():
     assert w == pytest.approx([2], abs=0.15) and t == pytest.approx([1, 3], abs=0.2)
 
 
+def test_ordinal_fit_against_brute_force_likelihood():
+    """At the fit no small step of any parameter makes the likelihood, written down plainly, better."""
+    rng = np.random.default_rng(5)
+    x, weight = rng.random((300, 2)), rng.random(300) + 0.5
+    grades = np.digitize(3 * x[:, 0] - 2 * x[:, 1] + rng.logistic(size=300), [0.5, 2.0])
+    w, t = toxicity.fit_ordinal(x, grades, weight, steps=4000, rate=0.03)
+
+    def loss(w, t):
+        total = 0.0
+        for row, g, k in zip(x, grades, weight):
+            above = [1.0] + [1 / (1 + np.exp(-(row @ w - c))) for c in t] + [0.0]
+            total -= k * np.log(above[g] - above[g + 1])
+        return total / weight.sum() + 1e-5 / 2 * (w @ w)
+
+    best, params = loss(w, t), np.concatenate((w, t))
+    for i in range(4):
+        for step in (-0.02, 0.02):
+            moved = params.copy()
+            moved[i] += step
+            assert loss(moved[:2], moved[2:]) > best - 1e-7
+
+
 def test_only_real_copies_collapse():
     shared = [b"w%d" % i for i in range(50)]
     rows = [(1, [*shared, b"one"]), (1, [*shared, b"two"]), (1, [b"one", *shared, b"w3"]), (0, [*shared, b"one"])]
