@@ -1,7 +1,8 @@
 """The corpus pipeline: toxicity, quality, near duplicates, decontamination, mixing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame, which the caller writes as Parquet
-and hands to the next stage. All stages but the last return the columns of their input.
+and hands to the next stage. All stages but the last return the columns of their input, whatever further ones
+it has and however they are named; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -13,29 +14,34 @@ from corpusloom.llm.common import table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with P(grade >= 1) of 1/2 or more."""
+    """Drops documents with P(grade >= 1) of 1/2 or more. Null and empty texts and, without labels, all documents stay;
+    repeated rows share their fate."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
-    return toxicity.score(docs, model).where("not __toxicity.toxic").drop("__toxicity")
+    return toxicity.drop_toxic(docs, model)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps what importance resampling draws; the draw is as large as the good part of the documents is estimated to be."""
+    """Keeps what importance resampling draws; the draw is as large as the good part of the documents is estimated to be.
+    Null and empty texts weigh 0; rows with equal id and text share their fate; without good labels all stay."""
     return quality.resample(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))[1]
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates."""
+    """Keeps the document with the smallest id of each group of near duplicates, null ids last. Texts without words stay;
+    repeated rows of the one that stays are one."""
     return neardup.drop_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a window of a benchmark item."""
+    """Drops documents that hold a window of a benchmark item. Null and empty texts, and with an empty benchmark all
+    documents, stay; repeated rows share their fate."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark", "item_id", "text"), mode="documents")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training order: what the mix takes of each document, range-sorted by training position."""
-    return mixing.training_order(mixing.mix(docs))
+    """What the mix takes of each document and at which training positions, range-sorted by the first of them. Null texts
+    have no words and are not taken; of repeated rows each is a document."""
+    return mixing.by_position(mixing.mix(docs))
 
 
 STAGES = [
