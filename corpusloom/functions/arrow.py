@@ -6,6 +6,7 @@ Each takes and returns columns; work stays inside a row, so none of them shuffle
 from __future__ import annotations
 
 import functools
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -64,9 +65,12 @@ def normalize(c: Column, form: bool = True, markup: bool = True, controls: bool
     """Markup, NFC, control characters, segments, tone marks, white space, in this order; null becomes empty."""
     c = text.text_of(c)
     if markup:
-        c = unescape(text.strip_markup(c))
-    if form:
-        c = nfc(c)
+        c = text.strip_markup(c)
+    if (markup or form) and not segments:
+        c = _map(functools.partial(_letters, markup=markup, form=form, controls=controls, style=style), "string", c)
+        style = None
+    elif markup or form:
+        c = _map(functools.partial(_letters, markup=markup, form=form, controls=False, style=None), "string", c)
     if controls:
         c = text.clean_controls(c)
     if segments:
@@ -76,6 +80,22 @@ def normalize(c: Column, form: bool = True, markup: bool = True, controls: bool
     return text.squeeze(c, keep_newlines) if whitespace else c
 
 
+@functools.cache
+def _format_characters() -> dict[int, None]:
+    return {c: None for c in range(0x80, 0x110000) if unicodedata.category(chr(c)) in ("Cf", "Cc") and c != 0x85}
+
+
+def _letters(value: str, markup: bool, form: bool, controls: bool, style: str | None) -> str:
+    """Entities, NFC and tone marks in one step; most of it is nothing for plain ASCII. Format characters that ``controls``
+    takes out anyway go before the tone marks, since they would part words."""
+    if markup and "&" in value:
+        value = exact.unescape(value)
+    if value.isascii():
+        return value
+    value = exact.nfc(value) if form else value
+    return exact.tone_style(value.translate(_format_characters()) if controls else value, style) if style else value
+
+
 def bm25_centrality(sents: Column, k1: float = 1.5, b: float = 0.75) -> Column:
     return _map(exact.bm25_centrality, "array<double>", sents, k1=k1, b=b)
 
@@ -98,8 +118,11 @@ def chunks(c: Column, **options) -> Column:
     return _map(exact.chunks, CHUNK, c, **options)
 
 
+_source = functools.lru_cache(maxsize=8)(exact.Source)  # several systems share a document, and rows of one often stand together
+
+
 def _checked(summary: str | None, source: str | None, check_initial: bool = False) -> list[dict]:
-    return [{"sentence": s, "unsupported": u} for s, u in exact.check_summary(summary, exact.Source(source), check_initial)]
+    return [{"sentence": s, "unsupported": u} for s, u in exact.check_summary(summary, _source(source), check_initial)]
 
 
 def check_summary(summary: Column, source: Column, check_initial: bool = False) -> Column:
@@ -108,7 +131,7 @@ def check_summary(summary: Column, source: Column, check_initial: bool = False)
 
 
 def _kept(sents, source: str | None) -> list[str]:
-    return exact.drop_unsupported(list(sents) if sents is not None else [], exact.Source(source))[0]
+    return exact.drop_unsupported(list(sents) if sents is not None else [], _source(source))[0]
 
 
 def drop_unsupported(sents: Column, source: Column) -> Column:

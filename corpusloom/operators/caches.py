@@ -2,10 +2,69 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+import json
+from collections import OrderedDict
+from collections.abc import Iterator
+from pathlib import Path
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def fingerprint(settings: Any, digits: int = 16) -> str:
+    """Names what a cached result depends on: the SHA-1 of the settings as JSON with sorted keys."""
+    return hashlib.sha1(json.dumps(settings, sort_keys=True, ensure_ascii=False, default=str).encode()).hexdigest()[:digits]
+
+
+def model_identity(path: str, suffixes: tuple[str, ...] = (".json", ".bin", ".safetensors", ".onnx", ".model")) -> str:
+    """What a model is called in a fingerprint: the digest of its files' names and contents, wherever the folder lies;
+    a name that is no folder, or a folder without such files, stands for itself."""
+    folder = Path(path)
+    files = sorted(f for f in folder.iterdir() if f.is_file() and f.suffix in suffixes) if folder.is_dir() else []
+    if not files:
+        return path
+    whole = hashlib.sha256()
+    for f in files:
+        with f.open("rb") as handle:
+            whole.update(f"{f.name}\0{hashlib.file_digest(handle, 'sha256').hexdigest()}\n".encode())
+    return f"sha256:{whole.hexdigest()[:16]}"
+
+
+def lru_hits(calls: DataFrame, capacity: int, by: str = "worker", order: str = "seq") -> DataFrame:
+    """(worker, calls, hits): what a cache of ``capacity`` keys for each worker finds, the one used longest ago going
+    first; a capacity of 0 turns it off. Calls (worker, seq, key) are replayed in order; a worker's cache is held, not
+    its calls. Null keys are never cached."""
+
+    def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        worker, held, n, hits = None, OrderedDict(), 0, 0
+        for batch in batches:
+            for w, key in zip(batch["w"], batch["key"]):
+                if w != worker:
+                    if n:
+                        yield pd.DataFrame({by: [worker], "calls": [n], "hits": [hits]})
+                    worker, held, n, hits = w, OrderedDict(), 0, 0
+                n += 1
+                if key is None or not capacity:
+                    continue
+                hits += key in held
+                held[key] = held.move_to_end(key) if key in held else None
+                if len(held) > capacity:
+                    held.popitem(last=False)
+        if n:
+            yield pd.DataFrame({by: [worker], "calls": [n], "hits": [hits]})
+
+    rows = calls.select(F.col(by).cast("string").alias("w"), F.col(order).alias("o"), F.col("key").cast("string").alias("key")).where("w is not null")
+    return rows.repartition("w").sortWithinPartitions("w", "o").select("w", "key").mapInPandas(replay, f"`{by}` string, calls long, hits long")
+
+
+def batch_count(n: Column, size: int) -> Column:
+    """Calls that ``n`` texts take in batches of ``size``."""
+    return F.ceil(n / F.lit(size)).cast("bigint")
+
+
 def latest(cache: DataFrame, fingerprints: list[str] | None = None, key: list[str] | None = None) -> DataFrame:
     """The last row of each key, of accepted fingerprints only; a partial maximum, not a window."""
     key = key or ["id"]

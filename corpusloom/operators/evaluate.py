@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import arrow, text
 
 METRICS = ("rouge1", "rouge2", "rougeL", "bertscore_f", "faithfulness")
 
 
-def sample_metrics(rows: DataFrame, novel: tuple[int, ...] = (1, 2), repeat: int = 3) -> DataFrame:
-    """Adds metrics to (system, id, document, summary, prediction). Nulls count as empty texts."""
+def unsupported_items(prediction: Column, document: Column) -> Column:
+    """Numbers and names of a prediction that its document does not have, sentence by sentence; a blank one has none."""
+    return F.flatten(F.transform(arrow.check_summary(prediction, document), lambda x: x["unsupported"]))
+
+
+def sample_metrics(rows: DataFrame, novel: tuple[int, ...] = (1, 2), repeat: int = 3, factcheck: bool = False) -> DataFrame:
+    """Adds metrics to (system, id, document, summary, prediction). Nulls count as empty texts.
+
+    With ``factcheck`` also ``unsupported_pct``: 100 where the prediction has an unsupported number or name, else 0.
+    """
+    if factcheck:
+        rows = rows.withColumn("unsupported_pct", F.when(F.size(unsupported_items(F.col("prediction"), F.col("document"))) > 0, 100.0).otherwise(0.0))
     p, s, d = F.col("prediction"), F.col("summary"), F.col("document")
     return rows.withColumns({
         "rouge1": text.rouge_n(p, s, 1), "rouge2": text.rouge_n(p, s, 2), "length_syllables": F.size(text.syllables(p)),
@@ -38,20 +50,29 @@ def unpivoted(rows: DataFrame, metrics: list[str], keys: list[str]) -> DataFrame
     return rows.select(*keys, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(keys, metrics, "metric", "x").where("x is not null")
 
 
+#: P(X <= k) of the Poisson distribution with mean 1; what lies above the last one has a probability of 2e-12.
+_POISSON = tuple(math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(13))
+
+
 def bootstrap_means(values: DataFrame, by: list[str], n_boot: int, seed: int = 42) -> DataFrame:
     """(by, boot, mean): means of ``n_boot`` draws of clusters, with replacement inside each stratum.
 
-    ``values`` has stratum, cluster and x besides ``by``. Rows shrink to sums of a cluster first; a draw is the hash
-    of seed, stratum, boot and position, modulo the clusters of the stratum. Boot numbers come from a sequence in
-    the row, so there is no cross join, and draws meet clusters on an equi-join.
+    ``values`` has stratum, cluster and x besides ``by``; null strata and clusters are strata and clusters too. Rows
+    shrink to sums of a cluster first. How often a boot draws a cluster is a Poisson number of mean 1, from the hash of
+    seed, stratum, cluster and boot; sums of a stratum are then scaled to its number of clusters, so that every stratum
+    keeps its weight, as it does where exactly as many clusters are drawn as it has. So there is no join and no window:
+    boots come from a sequence in the row and are added up before the one shuffle.
     """
     sums = values.groupBy(*by, "stratum", "cluster").agg(F.sum("x").alias("s"), F.count("x").alias("c"))
-    ranked = sums.withColumns({
-        "i": F.row_number().over(W.partitionBy(*by, "stratum").orderBy("cluster")) - 1, "k": F.count("*").over(W.partitionBy(*by, "stratum"))})
-    key = F.concat_ws(":", F.lit(seed), "stratum", "boot", "i")
-    draws = ranked.select(*by, "stratum", "i", "k", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("boot")).select(
-        *by, "stratum", "boot", F.floor(text.hash_draw(key) * F.col("k")).cast("int").alias("i"))
-    return draws.join(ranked.select(*by, "stratum", "i", "s", "c"), [*by, "stratum", "i"]).groupBy(*by, "boot").agg((F.sum("s") / F.sum("c")).alias("mean"))
+    none = F.lit("")
+    key = F.concat_ws(":", F.lit(seed), F.coalesce(F.col("stratum").cast("string"), none), F.coalesce(F.col("cluster").cast("string"), none), "boot")
+    u = F.col("u")
+    times = sum(((u >= t).cast("int") for t in _POISSON), F.lit(0))
+    drawn = sums.withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("u", text.hash_draw(key)).withColumn("m", times)
+    strata = drawn.groupBy(*by, "stratum", "boot").agg(
+        F.count("*").alias("k"), F.sum("m").alias("m"), F.sum(F.col("m") * F.col("s")).alias("s"), F.sum(F.col("m") * F.col("c")).alias("c")).where("m > 0")
+    scale = F.col("k") / F.col("m")
+    return strata.groupBy(*by, "boot").agg((F.sum(scale * F.col("s")) / F.sum(scale * F.col("c"))).alias("mean"))
 
 
 def bootstrap_ci(values: DataFrame, by: list[str], n_boot: int = 1000, confidence: float = 0.95, seed: int = 42) -> DataFrame:
@@ -100,14 +121,24 @@ def weighted_kappa(rows: DataFrame, a: str, b: str, low: int = 1, high: int = 5)
 
 
 def with_average_rank(rows: DataFrame, column: str, name: str) -> DataFrame:
-    """Ranks with ties at their mean: by distinct value, from counts, so that no window holds all rows."""
+    """Ranks with ties at their mean, of a numeric column; nulls have none.
+
+    Counts of each different value are added up in two levels: inside up to 256 ranges of about as many values each,
+    whose edges are approximate quantiles, and over the ranges. So no window holds all values.
+    """
     counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(W.orderBy(column).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(counts.withColumn(name, before + (F.col("__n") + 1) / 2.0).drop("__n"), column, "left")
+    edges = sorted(set(counts.select(F.col(column).cast("double").alias("x")).approxQuantile("x", [i / 256 for i in range(1, 256)], 0.001)))
+    part = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= F.col(column))) if edges else F.lit(0)
+    counts = counts.withColumn("__part", part)
+    totals = counts.groupBy("__part").agg(F.sum("__n").alias("__t")).withColumn(
+        "__before", F.coalesce(F.sum("__t").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("__t")
+    inside = F.coalesce(F.sum("__n").over(W.partitionBy("__part").orderBy(column).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranks = counts.withColumn("__inside", inside).join(F.broadcast(totals), "__part").select(column, (F.col("__before") + F.col("__inside") + (F.col("__n") + 1) / 2.0).alias(name))
+    return rows.join(ranks, column, "left")
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Rank correlation of scores with few different values; null for fewer than two pairs or a constant side."""
+    """Rank correlation; null for fewer than two pairs or a constant side."""
     both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
     ranked = with_average_rank(with_average_rank(both, a, "__ra"), b, "__rb")
     return ranked.agg(F.count("*").alias("n"), F.round(pearson("__ra", "__rb"), 6).alias("spearman"))
@@ -118,6 +149,38 @@ def pearson(a: str | Column, b: str | Column) -> Column:
     return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
 
 
+def kappa_interval(rows: DataFrame, human: str, judge: str, n_boot: int = 1000, confidence: float = 0.95, seed: int = 42, key: str = "item_id") -> DataFrame:
+    """(ci_low, ci_high) of the quadratic weighted kappa over bootstrap draws of items; nulls without pairs.
+
+    Draws are Poisson numbers from hashes of seed, item and boot, as in ``bootstrap_means``. Sums of the disagreement and
+    of the scores' first two moments give the kappa of a boot, so a boot needs one row.
+    """
+    both = rows.where(F.col(human).isNotNull() & F.col(judge).isNotNull()).select(F.col(key).cast("string").alias("k"), F.col(human).cast("double").alias("a"), F.col(judge).cast("double").alias("b"))
+    drawn = both.withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(n_boot)))).withColumn("u", text.hash_draw(F.concat_ws(":", F.lit(seed), F.coalesce("k", F.lit("")), "boot")))
+    m = sum(((F.col("u") >= t).cast("int") for t in _POISSON), F.lit(0))
+    sums = drawn.withColumn("m", m).groupBy("boot").agg(F.sum("m").alias("n"), *[F.sum(F.col("m") * c).alias(x) for x, c in {
+        "d": F.pow(F.col("a") - F.col("b"), F.lit(2)), "sa": F.col("a"), "sb": F.col("b"), "qa": F.col("a") * F.col("a"), "qb": F.col("b") * F.col("b")}.items()])
+    # the mean of (a - b)^2 over all pairs of a human and a judge score
+    chance = (F.col("qa") + F.col("qb")) / F.col("n") - 2 * F.col("sa") * F.col("sb") / (F.col("n") * F.col("n"))
+    kappa = F.when((F.col("n") > 0) & (chance > 1e-12), 1 - F.col("d") / F.col("n") / chance)
+    tail = (1 - confidence) / 2
+    return sums.select(kappa.alias("q")).agg(F.round(F.percentile("q", F.lit(tail)), 6).alias("ci_low"), F.round(F.percentile("q", F.lit(1 - tail)), 6).alias("ci_high"))
+
+
+def sheet_agreement(key: DataFrame, sheet: DataFrame, human: str = "human_score", judge: str = "faithfulness", **options) -> DataFrame:
+    """Agreement of a filled annotation sheet with the key that knows what each item is, with the interval of kappa.
+
+    Items of the key that the sheet lacks or leaves empty do not count. Items that the sheet has twice, or that the key
+    does not know, are an error: the sheet belongs to another key then.
+    """
+    twice = [r.item_id for r in sheet.groupBy("item_id").count().where("count > 1").orderBy("item_id").limit(5).collect()]
+    unknown = [r.item_id for r in sheet.join(key, "item_id", "left_anti").select("item_id").orderBy("item_id").limit(5).collect()]
+    if twice or unknown:
+        raise ValueError(f"items more than once in the sheet: {twice}; items that the key does not know: {unknown}")
+    rows = key.join(sheet.select("item_id", human), "item_id", "left")
+    return agreement(rows, human, judge).join(kappa_interval(rows, human, judge, **options))
+
+
 def agreement(rows: DataFrame, human: str, judge: str) -> DataFrame:
     both = rows.where(F.col(human).isNotNull() & F.col(judge).isNotNull())
     d = (F.col(human) - F.col(judge)).cast("double")
@@ -155,8 +218,14 @@ def nested_sample(rows: DataFrame, n: int, key: str = "id", by: list[str] | None
     return bounded_first(rows, by, n, [md5, F.col(key)]) if by else rows.orderBy(md5, key).limit(n)
 
 
-def balanced_sample(rows: DataFrame, systems: list[str], n: int, key: str = "id", seed: int = 42, paired: bool = False) -> DataFrame:
-    """``n`` items over the systems, as even as can be, the first systems one more; with ``paired`` the same ids for all."""
+def balanced_sample(rows: DataFrame, systems: list[str], n: int, key: str = "id", seed: int = 42, paired: bool = False, require: str | None = None, strict: bool = False) -> DataFrame:
+    """``n`` items over the systems, as even as can be, the first systems one more; with ``paired`` the same ids for all.
+
+    With ``require`` only rows count where that column (a judge's score) is not null. With ``strict`` a system that has
+    fewer rows than it should give is an error.
+    """
+    if require:
+        rows = rows.where(F.col(require).isNotNull())
     quota = {s: n // len(systems) + (i < n % len(systems)) for i, s in enumerate(systems)}
     rows = rows.where(F.col("system").isin(systems))
     if paired:
@@ -165,6 +234,10 @@ def balanced_sample(rows: DataFrame, systems: list[str], n: int, key: str = "id"
     limit = F.lit(0)
     for s, q in quota.items():
         limit = F.when(F.col("system") == s, q).otherwise(limit)
+    if strict:
+        have = {r.system: r.n for r in rows.groupBy("system").agg(F.count("*").alias("n")).collect()}
+        if short := {s: have.get(s, 0) for s, q in quota.items() if have.get(s, 0) < q}:
+            raise ValueError(f"too few rows: {short}, wanted {quota}")
     who = F.col(key).cast("string") if paired else F.concat_ws(":", "system", F.col(key).cast("string"))
     return rows.withColumn("__rn", hash_rank(["system"], who, seed)).where(F.col("__rn") <= limit).drop("__rn")
 

@@ -8,14 +8,21 @@ from pyspark.sql import functions as F
 from ..functions.text import bucket_label
 
 
-def _p(c: str, q: float) -> Column:
-    return F.round(F.percentile(F.col(c), F.lit(q)), 6)
+def percentile(c: Column, q: float, accuracy: int | None = None) -> Column:
+    """The interpolated percentile, exactly: a group's different values are held in one buffer. For groups with very
+    many of them ``accuracy`` takes a sketch of bounded size instead: a value whose rank is off by a share of at most
+    1 / accuracy, without interpolation."""
+    return F.percentile(c, F.lit(q)) if accuracy is None else F.percentile_approx(c.cast("double"), F.lit(q), F.lit(accuracy))
 
 
-def latency_summary(rows: DataFrame, by: list[str]) -> DataFrame:
-    """``rows``: latency_ms, generate_ms, new_tokens. Rates are ratios of sums."""
+def _p(c: str, q: float, accuracy: int | None = None) -> Column:
+    return F.round(percentile(F.col(c), q, accuracy), 6)
+
+
+def latency_summary(rows: DataFrame, by: list[str], accuracy: int | None = None) -> DataFrame:
+    """``rows``: latency_ms, generate_ms, new_tokens. Rates are ratios of sums; ``accuracy`` as in ``percentile``."""
     return rows.groupBy(*by).agg(
-        F.count("*").alias("n"), _p("latency_ms", 0.5).alias("p50"), _p("latency_ms", 0.95).alias("p95"), F.round(F.avg("latency_ms"), 6).alias("mean"),
+        F.count("*").alias("n"), _p("latency_ms", 0.5, accuracy).alias("p50"), _p("latency_ms", 0.95, accuracy).alias("p95"), F.round(F.avg("latency_ms"), 6).alias("mean"),
         F.round(F.max("latency_ms"), 6).alias("max"), F.round(F.count("*") / F.nullif(F.sum("latency_ms") / 1000.0, F.lit(0.0)), 6).alias("docs_per_s"),
         F.round(F.sum("new_tokens") / F.nullif(F.sum("generate_ms") / 1000.0, F.lit(0.0)), 6).alias("tokens_per_s"))
 

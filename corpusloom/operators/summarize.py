@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import arrow, text
 from .prepare import desired_strategy
 
+#: What a generator is told for each length.
 PRESETS = {"short": {"max_new_tokens": 48, "length_penalty": 0.6}, "medium": {"max_new_tokens": 128}, "long": {"max_new_tokens": 256, "min_new_tokens": 64, "length_penalty": 2.0}}
 
 

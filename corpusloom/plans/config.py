@@ -12,6 +12,9 @@ except ModuleNotFoundError:  # YAML is optional; JSON files always work
     yaml = None
 
 
+from ..operators.summarize import PRESETS
+
+
 class ConfigError(ValueError):
     pass
 
@@ -93,14 +96,9 @@ def selected_systems(config: dict, explicit: list[str] | None = None) -> list[st
     return [s for s, c in systems.items() if c.get("enabled", True)]
 
 
-#: Most and fewest new tokens and the length penalty of each length.
-PRESETS = {"short": (48, None, 0.6), "medium": (128, None, None), "long": (256, 64, 2.0)}
-
-
 def generation_options(length: str, **more) -> dict:
     """What a generator is told for a length; options that a preset leaves open are not named."""
     if length not in PRESETS:
         raise ConfigError(f"length must be one of {', '.join(PRESETS)}, not {length!r}")
-    most, fewest, penalty = PRESETS[length]
-    named = {"max_new_tokens": most, "min_new_tokens": fewest, "length_penalty": penalty, **more}
+    named = {**PRESETS[length], **more}
     return {k: v for k, v in named.items() if v is not None}

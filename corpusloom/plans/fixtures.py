@@ -62,7 +62,7 @@ def calls(spark: SparkSession, sf: str) -> DataFrame:
 # the same in DuckDB's SQL
 
 ABBREVIATION = (
-    r"(^|[\s\"'“‘(\[.])((?" + "{flags}" + ":" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")|\p{Lu})\.([\"'”’)\]]*"
+    r"(^|[\s\"'“‘(\[.])((?" + "{flags}" + ":" + "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS) + r")|\p{Lu})\.((?:[!?…][.!?…]*)?[\"'”’)\]]*)("
     + SPACE + ")"
 )
 
@@ -77,9 +77,9 @@ def sql_sentences(x: str) -> str:
     boundary = text.BOUNDARY.replace("'", quote)
     out = f"coalesce({x}, '')"
     for _ in range(2):
-        out = f"regexp_replace({out}, '{pattern}', '\\1\\2' || chr(1) || '\\3', 'g')"
+        out = f"regexp_replace({out}, '{pattern}', '\\1\\2.\\3' || chr(1) || '\\4', 'g')"
     out = f"regexp_replace({out}, '{boundary}', '\\1' || chr(2) || '\\2', 'g')"
-    pieces = f"list_transform(regexp_split_to_array({out}, '[\\x02\\n]'), lambda p: {sql_trim('replace(p, chr(1), chr(46))')})"
+    pieces = f"list_transform(regexp_split_to_array({out}, '[\\x02\\n]'), lambda p: {sql_trim('replace(p, chr(1), chr(1)[1:0])')})"
     return f"list_filter({pieces}, lambda p: length(p) >= 2)"
 
 

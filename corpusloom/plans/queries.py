@@ -12,8 +12,9 @@ from ..functions import arrow, judge, numbers, text
 from ..operators import caches, prepare
 from ..operators import evaluate as ev
 from ..operators import latency as lat
-from ..operators import runs
+from ..operators import rounds, runs
 from . import fixtures as fx
+from ..functions.classes import SPACE, WORD
 from .fixtures import CALLS, SAMPLES, documents, sql_draw, sql_ngrams, sql_rouge, sql_sentences, sql_syllables, sql_tokens, sql_trim, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,7 +202,28 @@ def lexrank_centrality(spark, sf):
     return s.select("doc_id", F.posexplode_outer("x").alias("pos", "x")).where("pos is not null").select("doc_id", "pos", F.round("x", 6).alias("score"))
 
 
-@query()
+def _sql_extract(scores: str, tokens: int) -> str:
+    """Greedy fill by rank, with skips; texts within the limit stay whole."""
+    def n(x: str) -> str:
+        return f"len(regexp_extract_all({x}, '{fx.NOT_SPACE}+'))"
+
+    return f"""
+WITH {scores}, sized AS (SELECT doc_id, pos, sent, {n('sent')} AS k, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, pos) AS rank FROM score),
+listed AS (SELECT doc_id, list({{'pos': pos::INT, 'sent': sent, 'k': k}} ORDER BY rank) AS l, count(*)::INT AS num FROM sized GROUP BY doc_id),
+filled AS (SELECT doc_id, l, num, list_reduce(list_prepend({{'used': 0::BIGINT, 'ids': []::INT[]}}, list_transform(l, lambda x: {{'used': x.k, 'ids': [x.pos]}})),
+    lambda a, x: CASE WHEN a.used + x.used <= {tokens} THEN {{'used': a.used + x.used, 'ids': list_concat(a.ids, x.ids)}} ELSE a END) AS f FROM listed),
+d AS (SELECT doc_id, text, coalesce({n('text')}, 0) AS tokens FROM documents),
+o AS (SELECT doc_id, text, tokens, coalesce(num, 0) AS num, CASE WHEN num > 0 THEN list_sort(f.ids) END AS ids, CASE WHEN num > 0 THEN l END AS l, f.used FROM d LEFT JOIN filled USING (doc_id)),
+q AS (SELECT *, CASE WHEN num > 0 AND tokens > {tokens} AND len(ids) = 0 THEN regexp_extract(l[1].sent, '^[\s]*(?:{fx.NOT_SPACE}+{SPACE}+){{0,{tokens - 1}}}{fx.NOT_SPACE}+') END AS cut FROM o)
+SELECT doc_id, num AS num_sentences, num > 0 AND tokens > {tokens} AS was_filtered, cut IS NOT NULL AS was_truncated,
+    CASE WHEN num = 0 THEN []::INT[] WHEN tokens <= {tokens} THEN range(num)::INT[] WHEN cut IS NOT NULL THEN [l[1].pos] ELSE ids END AS selected_sentence_ids,
+    CASE WHEN num = 0 THEN 0 WHEN tokens <= {tokens} THEN tokens WHEN cut IS NOT NULL THEN {tokens} ELSE used END::INT AS input_tokens,
+    CASE WHEN num = 0 THEN '' WHEN tokens <= {tokens} THEN text WHEN cut IS NOT NULL THEN cut
+         ELSE array_to_string(list_transform(list_sort(list_filter(l, lambda x: list_contains(ids, x.pos))), lambda x: x.sent), ' ') END AS input_text
+FROM q"""
+
+
+@query(_sql_extract(_BM25, 255))
 def extractive_budget(spark, sf):
     return documents(spark, sf).select("doc_id", arrow.extract(F.col("text"), max_tokens=256).alias("x")).select("doc_id", "x.*")
 
@@ -298,6 +320,10 @@ _RAW = """raw AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '{"score": ' || (do
     WHEN 2 THEN '{"score": "' || (1 + doc_id % 5) || '", "unsupported_claims": []}' WHEN 3 THEN '{"score": ' || (1 + doc_id % 5) || ', "unsupported_claims": ["a" b], "rationale": "Broken. Still"}' ELSE 'no score ' || doc_id END AS raw FROM documents)"""
 
 
+#: The score of a reply that begins with it, white space left out.
+_FIRST_SCORE = r"""regexp_extract(regexp_replace(regexp_replace(raw, '\s+', '', 'g'), '^```(?:json)?', ''), '^\{"score":([1-5])[,}]', 1)"""
+
+
 def _raw(spark, sf):
     n = F.col("doc_id")
     k = (1 + n % 5).cast("string")
@@ -319,7 +345,7 @@ def judge_parse(spark, sf):
 
 
 @query(f"""
-WITH {_RAW} SELECT doc_id, try_cast(regexp_extract(raw, '{judge.FIRST_SCORE}', 1) AS INT) AS score, {sql_trim("regexp_extract(raw, '(?s)" + chr(34) + "unsupported_claims" + chr(34) + "\\s*:\\s*\\[(.*?)\\]\\s*,\\s*" + chr(34) + "rationale" + chr(34) + "', 1)")} AS claims FROM raw WHERE doc_id % 5 = 3""")
+WITH {_RAW} SELECT doc_id, try_cast({_FIRST_SCORE} AS INT) AS score, {sql_trim("regexp_extract(raw, '(?s)" + chr(34) + "unsupported_claims" + chr(34) + "\\s*:\\s*\\[(.*?)\\]\\s*,\\s*" + chr(34) + "rationale" + chr(34) + "', 1)")} AS claims FROM raw WHERE doc_id % 5 = 3""")
 def judge_recover(spark, sf):
     return _raw(spark, sf).where("doc_id % 5 = 3").select("doc_id", judge.recovered_score(F.col("raw")).alias("score"), judge.recovered_claims(F.col("raw")).alias("claims"))
 
@@ -398,10 +424,11 @@ def score_distribution(spark, sf):
 
 
 def _sql_boot(values: str, by: str, n: int) -> str:
+    times = " + ".join(f"(u >= {t!r}::DOUBLE)::INT" for t in ev._POISSON)
     return f"""sums AS (SELECT {by}, stratum, cluster, sum(x) AS s, count(x) AS c FROM {values} GROUP BY ALL),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY {by}, stratum ORDER BY cluster) - 1 AS i, count(*) OVER (PARTITION BY {by}, stratum) AS k FROM sums),
-draws AS (SELECT {by}, stratum, boot, floor({sql_draw("'42:' || stratum || ':' || boot || ':' || i")} * k)::BIGINT AS i FROM ranked, range(1, {n} + 1) b(boot)),
-means AS (SELECT {by}, boot, sum(s) / sum(c) AS mean FROM draws JOIN ranked USING ({by}, stratum, i) GROUP BY {by}, boot)"""
+draws AS (SELECT *, {sql_draw("'42:' || coalesce(stratum, '') || ':' || coalesce(cluster, '') || ':' || boot")} AS u FROM sums, range(1, {n} + 1) b(boot)),
+strata AS (SELECT {by}, stratum, boot, count(*) AS k, sum(m) AS m, sum(m * s) AS s, sum(m * c) AS c FROM (SELECT *, {times} AS m FROM draws) GROUP BY ALL),
+means AS (SELECT {by}, boot, sum(k / m::DOUBLE * s) / sum(k / m::DOUBLE * c) AS mean FROM strata WHERE m > 0 GROUP BY {by}, boot)"""
 
 
 _N_BOOT = 200
@@ -426,7 +453,16 @@ def paired_bootstrap(spark, sf):
     return ev.paired_bootstrap(_scored(spark, sf), ["rouge1", "faithfulness"], "lead3", _N_BOOT)
 
 
-@query()
+_FLAT = "flat AS (SELECT system, id, stratum, cluster, 'rouge1' AS metric, rouge1 AS x FROM scored UNION ALL SELECT system, id, stratum, cluster, 'faithfulness', faithfulness::DOUBLE FROM scored WHERE faithfulness IS NOT NULL)"
+
+
+@query(f"""
+WITH ci AS (WITH {_SCORED}, {_FLAT}, {_sql_boot('flat', 'system, metric', _N_BOOT)},
+    ends AS (SELECT system, metric, {r6('quantile_cont(mean, 0.025)')} AS ci_low, {r6('quantile_cont(mean, 0.975)')} AS ci_high FROM means GROUP BY ALL)
+    SELECT system, metric, n, mean, ci_low, ci_high FROM (SELECT system, metric, count(x) AS n, {r6('avg(x)')} AS mean FROM flat GROUP BY ALL) JOIN ends USING (system, metric)),
+paired AS (WITH {_SCORED}, {_PAIRED}, {_sql_boot('diffs', 'metric, system', _N_BOOT)} {_PAIRED_OUT})
+SELECT 'ci' AS kind, system, metric, n, mean, ci_low, ci_high, NULL AS diff, NULL AS p_value, NULL AS reference FROM ci
+UNION ALL SELECT 'paired', system, metric, n, NULL, ci_low, ci_high, diff, p_value, 'lead3' FROM paired""")
 def significance_all(spark, sf):
     return ev.significance(_scored(spark, sf), ["rouge1", "faithfulness"], "lead3", n_boot=_N_BOOT)
 
@@ -546,7 +582,17 @@ def cross_grid(spark, sf):
     return lat.parameter_grid(spark, [0.6, 1.0, 2.0], [0, 32, 64])
 
 
-@query()
+_CUT_WORDS = f"""list_reduce(list_prepend({{'k': 0::BIGINT, 'n': 0::BIGINT, 'stop': false}}, list_transform(t, lambda x: {{'k': len(regexp_extract_all(lower(x), '{WORD}+')), 'n': 1::BIGINT, 'stop': false}})),
+    lambda a, x: CASE WHEN a.stop OR (a.n > 0 AND a.k + x.k > target) THEN {{'k': a.k, 'n': a.n, 'stop': true}} ELSE {{'k': a.k + x.k, 'n': a.n + 1, 'stop': false}} END)"""
+_CUT_SENTENCES = f"""list_reduce(list_prepend({{'k': 0::BIGINT, 'n': 0::BIGINT, 'stop': false}}, list_transform(s, lambda x: {{'k': len(regexp_extract_all(lower(x), '{WORD}+')), 'n': 1::BIGINT, 'stop': false}})),
+    lambda a, x: CASE WHEN a.stop OR (a.n > 0 AND abs(a.k + x.k - target) > abs(a.k - target)) THEN {{'k': a.k, 'n': a.n, 'stop': true}} ELSE {{'k': a.k + x.k, 'n': a.n + 1, 'stop': false}} END)"""
+
+
+@query(f"""
+WITH {SAMPLES}, goal AS (SELECT id, len({_P1}) AS target FROM samples WHERE system = 'lead1'),
+r AS (SELECT id, target, prediction, len({_P1}) AS k, {sql_tokens('prediction')} AS t, {sql_sentences('prediction')} AS s FROM samples JOIN goal USING (id) WHERE system = 'lead3')
+SELECT id, CASE WHEN k > target THEN array_to_string(t[1 : {_CUT_WORDS}.n], ' ') ELSE prediction END AS by_syllables,
+    CASE WHEN k > target THEN array_to_string(s[1 : {_CUT_SENTENCES}.n], ' ') ELSE prediction END AS by_sentences FROM r""")
 def length_matched(spark, sf):
     s = fx.samples(spark, sf)
     target = s.where("system = 'lead1'").select("id", F.size(text.syllables(F.col("prediction"))).alias("target"))
@@ -728,7 +774,7 @@ def human_means(spark, sf):
 
 
 @query(f"""
-WITH {_RAW}, p AS ({ORACLES['judge_parse']}), m AS (SELECT 's' || doc_id % 3 AS system, error IS NULL AS ok, regexp_extract(raw, '{judge.FIRST_SCORE}', 1) <> '' AS found FROM raw JOIN p USING (doc_id))
+WITH {_RAW}, p AS ({ORACLES['judge_parse']}), m AS (SELECT 's' || doc_id % 3 AS system, error IS NULL AS ok, {_FIRST_SCORE} <> '' AS found FROM raw JOIN p USING (doc_id))
 SELECT system, count(*) AS n, count_if(ok) AS parsed, count_if(NOT ok AND found) AS recovered, count_if(NOT ok AND NOT found) AS lost FROM m GROUP BY system""")
 def recovered_by_system(spark, sf):
     return runs.recovered_by_system(_raw(spark, sf).withColumn("system", F.concat(F.lit("s"), F.col("doc_id") % 3)))
@@ -797,3 +843,59 @@ def judge_missing(spark, sf):
     asked = runs.judge_requests(rows, _PROMPT, "model", "v1").select("id", "key", "document_truncated")
     cache = asked.where("id % 3 = 0").select("key", F.when(F.col("id") % 2 == 0, "bad_json").alias("error"))
     return runs.judge_missing(asked, cache).select("id", "key", "document_truncated")
+
+
+@query(f"SELECT lang, count(*) AS n, {r6('avg(r)')} AS mean, {r6('max(r)')} AS max FROM (SELECT lang, d / greatest(s, 1)::DOUBLE AS r FROM (SELECT lang, len({sql_tokens('document')}) AS d, len({sql_tokens('summary')}) AS s FROM ({_REC.replace('recs AS (', '').removesuffix(')').replace('SELECT doc_id AS id', 'SELECT lang, doc_id AS id')}))) GROUP BY lang")
+def compression_ratio(spark, sf):
+    d = documents(spark, sf).select("lang", prepare.compression_ratio(F.col("text"), text.lead(F.col("text"), 1)).alias("r"))
+    return d.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg("r"), 6).alias("mean"), F.round(F.max("r"), 6).alias("max"))
+
+
+@query(f"""
+SELECT lang, count(k) AS n, {r6('avg(k)')} AS mean, {r6('stddev(k)')} AS std, min(k) AS min, {', '.join(f"{r6(f'quantile_cont(k, {q})')} AS p{int(100 * q)}" for q in (0.25, 0.5, 0.75, 0.95))}, max(k) AS max,
+    {r6('100.0::DOUBLE * avg((k > 1024)::INT)')} AS pct_over FROM (SELECT lang, len({sql_tokens('text')})::DOUBLE AS k FROM documents) GROUP BY lang""")
+def describe_lengths(spark, sf):
+    return prepare.describe_lengths(documents(spark, sf).select("lang", text.token_count(F.col("text")).alias("k")), "k", ["lang"])
+
+
+@query(f"""
+WITH t AS (SELECT doc_id AS id, {sql_trim("coalesce(text, '')")} AS t FROM documents)
+SELECT coalesce(CASE WHEN t = '' THEN 'empty' WHEN length(t) > 5000 THEN 'too_long' END, 'accepted') AS outcome, count(*) AS n FROM t GROUP BY 1""")
+def request_errors(spark, sf):
+    checked = rounds.request_errors(documents(spark, sf).select(F.col("doc_id").alias("id"), "text"), 5000)
+    return checked.groupBy(F.coalesce("error", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT source, count(*) AS n, ceil(count(*) / 8.0)::BIGINT AS batches FROM documents GROUP BY source")
+def batch_counts(spark, sf):
+    return documents(spark, sf).groupBy("source").agg(F.count("*").alias("n")).withColumn("batches", caches.batch_count(F.col("n"), 8))
+
+
+@query()
+def rounds_histogram(spark, sf):
+    rows = documents(spark, sf).select(F.col("doc_id").alias("id"), F.col("text").alias("document"))
+    return runs.value_counts(rounds.reduce_in_rounds(rows, budget=100, chunk_tokens=64, overlap=8), "rounds", "extracted")
+
+
+@query()
+def unsupported_flags(spark, sf):
+    rows = ev.sample_metrics(fx.samples(spark, sf), novel=(), factcheck=True)
+    return rows.groupBy("system").agg(F.count("*").alias("n"), F.round(F.avg("unsupported_pct"), 6).alias("unsupported_pct"))
+
+
+@query()
+def chunk_cache_lru(spark, sf):
+    calls = table(spark, sf, "events").select(F.col("event_type").alias("worker"), F.col("event_id").alias("seq"), F.col("user_id").alias("key"))
+    return caches.lru_hits(calls, 64)
+
+
+@query(f"""
+WITH {SAMPLES}, sheet AS (SELECT id, human FROM samples WHERE system = 'lead1' AND id % 2 = 0),
+pairs AS (SELECT faithfulness AS judge, s.human FROM samples k LEFT JOIN sheet s USING (id) WHERE k.system = 'lead1'), {_QWK}, {_SPEARMAN}
+SELECT count(*) AS n, {r6('100.0::DOUBLE * avg((human = judge)::INT)')} AS exact_pct, {r6('100.0::DOUBLE * avg((abs(human - judge) <= 1)::INT)')} AS within1_pct,
+    {r6('avg(human)')} AS human_mean, {r6('avg(judge)')} AS judge_mean, {r6('avg(human - judge)')} AS mean_diff, (SELECT {r6('q')} FROM kappa) AS qwk, (SELECT {r6('r')} FROM rho) AS spearman FROM ok""")
+def sheet_agreement(spark, sf):
+    rows = fx.samples(spark, sf).where("system = 'lead1'")
+    key = rows.select(F.col("id").alias("item_id"), F.col("faithfulness").alias("judge"))
+    sheet = rows.where("id % 2 = 0").select(F.col("id").alias("item_id"), "human")
+    return ev.sheet_agreement(key, sheet, "human", "judge", n_boot=50).drop("ci_low", "ci_high")

@@ -85,11 +85,23 @@ def read_sheet(spark: SparkSession, path: str, *scores: str) -> DataFrame:
     return df
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, by Spark's own file systems."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON-lines cache; ``seq`` orders its lines by file and place, blank lines are skipped."""
-    rows = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"))
+    """A JSON-lines cache; ``seq`` orders its lines by the time their file was written, then by file and place. Spark gives
+    files of later appends random names, so names alone do not tell which came last. Blank lines are skipped; a folder
+    that does not exist yet is an empty cache."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], "id string, prediction string, fp string, `in` string, seq struct<time:timestamp,file:string,block:bigint,at:bigint>")
+    rows = spark.read.text(path).select(
+        "value", F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_name").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
     r = F.from_json("value", "id string, prediction string, fp string, `in` string")
-    return rows.where(F.trim("value") != "").select(r.alias("r"), F.struct("file", "at").alias("seq")).select("r.*", "seq")
+    return rows.where(F.trim("value") != "").select(r.alias("r"), F.struct("time", "file", "block", "at").alias("seq")).select("r.*", "seq")
 
 
 def read_benchmark(spark: SparkSession, path: str) -> DataFrame:

@@ -90,6 +90,19 @@ def evaluation_report(metrics: DataFrame, significance: DataFrame, title: str =
     return "\n\n".join(parts) + "\n"
 
 
+def model_card_table(metrics: DataFrame, own: str, metric_names: tuple[str, ...] = ("rouge1", "rouge2", "rougeL"), score: str = "faithfulness_mean") -> str:
+    """A card's two tables: all systems on the whole set, and the card's own system by subset with its mean length."""
+    shown_columns = [c for c in (*metric_names, score) if c in metrics.columns]
+    every = metrics.where("subset = 'all'").select("system", "n", *shown_columns)
+    subsets = metrics.where((F.col("system") == own) & (F.col("subset") != "all")).select("subset", "n", *[c for c in (*metric_names, "length_syllables") if c in metrics.columns])
+    return "\n\n".join([markdown_table(every, ["system"]), f"By subset, {own}:", markdown_table(subsets, ["subset"])]) + "\n"
+
+
+def distribution_report(distribution: DataFrame, title: str = "Scores") -> str:
+    """The distribution of a score by system, as ``operators.evaluate.score_distribution`` gives it."""
+    return f"## {title}\n\n{markdown_table(distribution, ['system'])}\n"
+
+
 def qualitative_report(rows: DataFrame, k: int = 5, max_chars: int = 700) -> str:
     """The best and worst k samples by faithfulness and ROUGE-L."""
     short = rows.withColumn("document", F.substring("document", 1, max_chars)).select("id", "system", "faithfulness", "rougeL", "prediction", "document")

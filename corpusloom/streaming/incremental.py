@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import caches
+from ..sources.read import exists
 
 
 def prepare_stream(spark: SparkSession, source: str, schema, transform: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, files_per_trigger: int = 16) -> StreamingQuery:
@@ -23,11 +24,15 @@ def prepare_stream(spark: SparkSession, source: str, schema, transform: Callable
 
 
 def generate_stream(spark: SparkSession, source: str, schema, cache_path: str, fingerprint: str, generate, checkpoint: str) -> StreamingQuery:
-    """Fills a result cache from a growing folder of (id, in, text): each batch computes only what the cache lacks."""
+    """Fills a result cache from a growing folder of (id, in, text): each batch computes only what the cache lacks.
+
+    So a batch that is run again after a failure adds nothing; the first run finds no cache and starts one.
+    """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark_ = batch.sparkSession
-        known = spark_.read.schema("id string, fp string, `in` string, prediction string, seq bigint").json(cache_path)
+        schema_ = "id string, fp string, `in` string, prediction string, seq bigint"
+        known = spark_.read.schema(schema_).json(cache_path) if exists(spark_, cache_path) else spark_.createDataFrame([], schema_)
         new = caches.run_with_cache(batch, known, fingerprint, generate).withColumn("seq", F.lit(batch_id).cast("bigint"))
         new.write.mode("append").json(cache_path)
 
