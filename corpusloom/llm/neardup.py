@@ -9,10 +9,10 @@
    pass if sizes and sketches allow a similarity of 0.5, and become links after a check of their full
    shingle sets. Sets are made of the texts of candidates only, where they are read.
 4. Buckets of three and more nodes that these links leave in several components are compared further,
-   in blocks of bounded size that hold the full sets: a pair is looked at in the first of its common
-   buckets only, the most similar by sketch first, and not at all once its components have met. Only
-   links come out. Blocks of one bucket meet after that, if it is still open. So no link that would
-   join components is lost, and no group's pairs are listed.
+   in blocks of bounded size, first by sketches, then those with a candidate by full sets: a pair is
+   looked at in the first of its common buckets only, the most similar by sketch first, and not at all
+   once its components have met. Only links come out. So no link that would join components is lost,
+   and no group's pairs are listed.
 5. Components of the links, by label spreading in written tables.
 
 A key with many rows (a bucket, a leader, a hub) is dealt over tasks by a salt.
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import blank_words, components, delete, free_name, maybe_wanted, quoted, vectorized, written
+from .common import blank_words, components, delete, maybe_wanted, row_key, vectorized, without, written
 
 SHINGLE, SAMPLES, BANDS, BITS = 5, 128, 32, 512
 ROWS = SAMPLES // BANDS
@@ -37,7 +37,10 @@ NUMERATOR, DENOMINATOR = 75, 100
 #: XOR counts up to this one pass: the expected count for a similarity of 0.5. Of pairs at 0.75 less than one in a million
 #: has more: that takes 60 of 128 samples that differ, where 32 are expected and the deviation is 4.9.
 MOST_XOR = int(BITS / 2 * (1 - np.exp(-2 * (2 * SAMPLES * 0.5) / BITS)))
+#: Nodes of a key from which on it is dealt over several tasks.
 BLOCK = 400
+#: Nodes of a block that meets others, and bytes of their full sets.
+ACROSS, ACROSS_BYTES = 2000, 16 << 20
 _rng = np.random.default_rng(75)
 _MUL = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
@@ -119,11 +122,6 @@ def linked_sets(a: bytes, b: bytes) -> bool:
     return DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both)
 
 
-@vectorized("boolean")
-def _linked(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([linked_sets(x, y) for x, y in zip(a, b)], dtype=bool)
-
-
 def _sizes_allow(a: str, b: str) -> Column:
     return DENOMINATOR * F.least(a, b) >= NUMERATOR * F.greatest(a, b)
 
@@ -132,19 +130,17 @@ def _xor_count(a: str, b: str) -> Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(BITS // 64)), F.lit(0))
 
 
-def _row_key() -> Column:
-    """Tells a row of ``docs``: rows that are equal in id and text share it."""
-    return F.xxhash64("doc_id", F.xxhash64("text"))
-
-
-def _full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
     """(node, shingles), a written table with all wanted nodes (and a few others), from the whole text of one row each.
 
-    The rows are found by a bitmap of their keys, so texts are read once more but never shuffled.
+    The rows are found by a bitmap of their keys, so texts are read once more but never shuffled. Sets are shuffled
+    only to become one a node where rows of ``docs`` are ``repeated``.
     """
-    rows = written(nodes.join(wanted, "node", "left_semi").select(F.col("rep").alias("key")), "wanted")
-    texts = maybe_wanted(docs.select("text", _row_key().alias("row_key")), F.col("row_key"), rows, "hit").where("hit")
-    out = written(texts.select(_full_set("text").alias("y")).groupBy("y.node").agg(F.first("y.shingles").alias("shingles")), "sets")
+    wanted = written(wanted.select("node"), "wanted")
+    rows = written(_of(nodes.select("node", "rep"), wanted).join(wanted, "node", "left_semi").select(F.col("rep").alias("key")), "wanted")
+    texts = maybe_wanted(docs.select("text", row_key(docs).alias("row_key")), F.col("row_key"), rows, "hit").where("hit")
+    found = texts.select(_full_set("text").alias("y")).select("y.*")
+    out = written(found.groupBy("node").agg(F.first("shingles").alias("shingles")) if repeated else found, "sets")
     delete(rows)
     return out
 
@@ -164,22 +160,61 @@ def _with_leader(pairs: DataFrame, values: DataFrame) -> DataFrame:
     return pairs.withColumn("salt", _salt("a", F.col("m"))).join(leaders, ["b", "salt"])
 
 
+def _star_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Compares each node with the leader that stands before it, in rows sorted by (b, salt, side)."""
+    leader, full = None, None
+    for batch in batches:
+        out = []
+        for b, side, a, found in zip(batch["b"], batch["side"], batch["a"], batch["shingles"]):
+            if side == 0:
+                leader, full = b, found
+            elif leader == b and linked_sets(found, full):
+                out.append((a, b))
+        yield pd.DataFrame(out, columns=["a", "b"])
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b, m) whose full sets are similar enough, as (a, b)."""
-    left = pairs.join(sets.toDF("a", "x"), "a")
-    return _with_leader(left, sets.toDF("b", "y")).where(_linked("x", "y")).select("a", "b")
+    """The pairs (a, b, m) whose full sets are similar enough, as (a, b). Sets are dealt by node, then by (b, salt)."""
+    leaders = pairs.groupBy("b").agg(F.max("m").alias("m"))
+    roles = pairs.select(F.col("a").alias("node"), "a", "b", _salt("a", F.col("m")).alias("salt"), F.lit(1).alias("side")).union(
+        leaders.select(F.col("b").alias("node"), F.lit(None).cast("binary"), "b", F.explode(F.sequence(F.lit(0), _salts(F.col("m")) - 1)), F.lit(0)))
+    rows = roles.join(sets, "node").select("b", "salt", "side", "a", "shingles")
+    return rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "side").mapInPandas(_star_links, "a binary, b binary")
 
 
 _UNIT = ["key", "bi", "bj"]
+_LIVE = [*_UNIT, "side", "band", "node", "component"]
 
 
-def _compare(g: pd.DataFrame) -> list[tuple[bytes, bytes]]:
-    """Links between different components in one unit of work: the nodes of two blocks (or one) of a bucket."""
+def _candidates(g: pd.DataFrame) -> list[tuple[int, int, int]]:
+    """(XOR count, i, j) of the pairs of rows in one unit of work that sketches and sizes allow to be linked, that are in
+    different components and in no earlier common bucket. Rows of sides 1 and 2 meet those of side 0, rows of side 2
+    each other too."""
     sketch = np.stack(g["sketch"].to_numpy()).view(np.uint64)
     bands = np.stack(g["bands"].to_numpy())
-    size, block, node, lead, full = (g[c].to_numpy() for c in ("n_shingles", "block", "node", "leader", "shingles"))
-    group = pd.factorize(g["component"])[0].tolist()
-    code, first, other, band = np.array(group), g["bi"].iloc[0], g["bj"].iloc[0], g["band"].iloc[0]
+    size, side, code, band = g["n_shingles"].to_numpy(), g["side"].to_numpy(), pd.factorize(g["component"])[0], g["band"].iloc[0]
+    left, right = np.flatnonzero(side > 0), np.flatnonzero(side != 1)
+    out: list[tuple[int, int, int]] = []
+    for i in left:
+        js = right[(right > i) | (side[right] == 0)] if side[i] == 2 else right[side[right] == 0]
+        js = js[(code[js] != code[i]) & (DENOMINATOR * np.minimum(size[js], size[i]) >= NUMERATOR * np.maximum(size[js], size[i]))]
+        if band and len(js):
+            js = js[~(bands[js, :band] == bands[i, :band]).any(1)]
+        if len(js):
+            xor = np.bitwise_count(sketch[js] ^ sketch[i]).sum(1)
+            near = xor <= MOST_XOR
+            out += zip(xor[near].tolist(), [int(i)] * int(near.sum()), js[near].tolist())
+    return out
+
+
+def _live(g: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a unit that have a candidate in it."""
+    return g.iloc[sorted({x for _, i, j in _candidates(g) for x in (i, j)})][_LIVE]
+
+
+def _linked_in(g: pd.DataFrame) -> pd.DataFrame:
+    """Links between different components in one unit, by full sets; the most similar by sketch are looked at first."""
+    group, node, full = pd.factorize(g["component"])[0].tolist(), g["node"].to_numpy(), g["shingles"].to_numpy()
     root = list(range(max(group) + 1))
 
     def find(x: int) -> int:
@@ -188,41 +223,32 @@ def _compare(g: pd.DataFrame) -> list[tuple[bytes, bytes]]:
             x = root[x]
         return x
 
-    open_ = node != lead  # every node has met the leader
-    left, right = np.flatnonzero((block == first) & open_), np.flatnonzero((block == other) & open_)
-    order: list[tuple[int, int, int]] = []
-    for i in left:
-        js = right[right > i] if first == other else right
-        js = js[(code[js] != code[i]) & (DENOMINATOR * np.minimum(size[js], size[i]) >= NUMERATOR * np.maximum(size[js], size[i]))]
-        if band and len(js):
-            js = js[~(bands[js, :band] == bands[i, :band]).any(1)]
-        if len(js):
-            xor = np.bitwise_count(sketch[js] ^ sketch[i]).sum(1)
-            near = xor <= MOST_XOR
-            order += zip(xor[near].tolist(), [int(i)] * int(near.sum()), js[near].tolist())
     out = []
-    for _, i, j in sorted(order):
+    for _, i, j in sorted(_candidates(g)):
         a, b = find(group[i]), find(group[j])
         if a != b and linked_sets(full[i], full[j]):
             root[a] = b
             out.append((min(node[i], node[j]), max(node[i], node[j])))
-    return out
+    return pd.DataFrame(out, columns=["a", "b"])
 
 
-def _block_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Runs ``_compare`` on every unit, in rows sorted by unit; a unit may go over batches."""
-    held = None
-    for batch in batches:
-        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        if not len(rows):
-            continue
-        unit = rows[_UNIT]
-        cuts = [*np.flatnonzero(unit.ne(unit.shift()).any(axis=1).to_numpy()), len(rows)]
-        links = [x for a, b in zip(cuts[:-2], cuts[1:-1]) for x in _compare(rows.iloc[a:b])]
-        held = rows.iloc[cuts[-2] :].reset_index(drop=True)
-        yield pd.DataFrame(links, columns=["a", "b"])
-    if held is not None and len(held):
-        yield pd.DataFrame(_compare(held), columns=["a", "b"])
+def _by_unit(rows: DataFrame, work, ddl: str) -> DataFrame:
+    """Runs ``work`` on the rows of each unit; a unit may go over Arrow batches, and only one unit is held."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            unit = rows[_UNIT]
+            cuts = [*np.flatnonzero(unit.ne(unit.shift()).any(axis=1).to_numpy()), len(rows)]
+            held = rows.iloc[cuts[-2] :].reset_index(drop=True)
+            yield from (work(rows.iloc[a:b]) for a, b in zip(cuts[:-2], cuts[1:-1]))
+        if held is not None and len(held):
+            yield work(held)
+
+    return rows.repartition(*_UNIT).sortWithinPartitions(*_UNIT).mapInPandas(run, ddl)
 
 
 def _hot_keys(nodes: DataFrame, most: int = 100_000, chunk: int = 1 << 21) -> DataFrame:
@@ -253,29 +279,29 @@ def _hot_keys(nodes: DataFrame, most: int = 100_000, chunk: int = 1 << 21) -> Da
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(key, band, node, leader, m) of all buckets with m > 1 nodes, a written table.
+    """(key, band, node, n_shingles, leader, m) of all buckets with m > 1 nodes, a written table.
 
     Nodes are dealt by key once. Hot keys stay out of that: their leaders and sizes come from partial aggregates and
     are broadcast to the rows.
     """
-    members = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    members = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
     hot = _hot_keys(nodes)
     by_key = W.partitionBy("key")
     cold = members.join(F.broadcast(hot), "key", "left_anti").withColumns({"leader": F.min("node").over(by_key), "m": F.count("*").over(by_key)}).where("m > 1")
     large = written(members.join(F.broadcast(hot), "key").groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("m")).where("m > 1"), "large")
-    out = written(cold.select("key", "band", "node", "leader", "m").union(
-        members.join(F.broadcast(large), "key").select("key", "band", "node", "leader", "m")), "members")
+    out = written(cold.select("key", "band", "node", "n_shingles", "leader", "m").union(
+        members.join(F.broadcast(large), "key").select("key", "band", "node", "n_shingles", "leader", "m")), "members")
     delete(hot, large)
     return out
 
 
-def _open_buckets(members: DataFrame, component: DataFrame, least: int) -> DataFrame:
-    """The rows of ``members``, leaders left out, of buckets with at least ``least`` nodes in several components.
+def _open_buckets(members: DataFrame, component: DataFrame) -> DataFrame:
+    """The rows of ``members``, leaders left out, of buckets whose nodes are in several components.
 
     Of buckets with the same nodes only that of the smallest band stays: in it the pairs are looked at. A bucket's one
     row is copied to the salts over which its nodes are dealt.
     """
-    rows = members.where(F.col("m") >= least).where("node <> leader").drop("component").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    rows = members.where("m > 2").where("node <> leader").drop("component").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
     still = rows.groupBy("key", "band", "m").agg(
         F.min("component").alias("low"), F.max("component").alias("high"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(2))).alias("y"))
     kept = still.where("low <> high").groupBy("x", "y", "m").agg(F.min(F.struct("band", "key")).alias("k")).select(
@@ -283,20 +309,51 @@ def _open_buckets(members: DataFrame, component: DataFrame, least: int) -> DataF
     return rows.withColumn("salt", _salt("node", F.col("m"))).join(kept, ["key", "salt"], "left_semi").drop("salt")
 
 
-def _compared(rows: DataFrame, nodes: DataFrame, sets: DataFrame, across: bool) -> DataFrame:
-    """Links between different components inside the blocks of each bucket or, if ``across``, between its blocks.
+def _units(rows: DataFrame) -> DataFrame:
+    """The rows of open buckets by unit of work: (key, bi, bj) and side.
 
-    A bucket is cut into so many blocks that one has about BLOCK nodes; a block or pair of blocks is a unit of work.
+    Of two nodes in different components one is not in the bucket's largest component. Those are cut into blocks, which
+    meet each other and the blocks of the largest component. A block has about ACROSS nodes, fewer if their full sets
+    would take more than ACROSS_BYTES. A node is copied once for each block that it meets: where one block holds all
+    that are not in the largest component, no node of that is copied.
     """
-    g, block = _salts(F.col("m")), F.col("block")
-    other = F.explode(F.filter(F.sequence(F.lit(0), g - 1), lambda i: i != block)) if across else block
-    unit = (
-        rows.join(nodes.select("node", "n_shingles", "sketch", "bands").join(sets, "node"), "node").withColumn("block", _salt("node", F.col("m"))).withColumn("other", other)
-        .select("key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "band", "block", "node", "leader", "component", "n_shingles", "sketch", "bands", "shingles"))
-    return unit.repartition(*_UNIT).sortWithinPartitions(*_UNIT).mapInPandas(_block_links, "a binary, b binary")
+    def blocks(n: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(n / ACROSS), F.ceil(8 * size / ACROSS_BYTES)).cast("int")
+
+    counts = rows.groupBy("key", "m", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("size")).groupBy("key", "m").agg(
+        F.max(F.struct("n", "component", "size")).alias("top"), F.sum("n").alias("all"), F.sum("size").alias("size"))
+    counts = counts.select(
+        "key", F.col("top.component").alias("top"), blocks(F.col("all") - F.col("top.n"), F.col("size") - F.col("top.size")).alias("few"), blocks(F.col("top.n"), F.col("top.size")).alias("many"),
+        F.explode(F.sequence(F.lit(0), _salts(F.col("m")) - 1)).alias("salt"))
+    marked = rows.withColumn("salt", _salt("node", F.col("m"))).join(counts, ["key", "salt"])
+    own, other, few, many = (F.col(c) for c in ("own", "other", "few", "many"))
+    largest = marked.where("component = top").withColumns({"own": F.pmod(F.xxhash64("node"), many).cast("int"), "bi": F.explode(F.sequence(F.lit(0), few - 1))})
+    # one block alone meets itself together with the first block of the largest component
+    rest = marked.where("component <> top").withColumn("own", F.pmod(F.xxhash64("node"), few).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.when(few == 1, 1).otherwise(0), few + many - 1)))
+    side = F.when(few == 1, F.when(other == 1, 2).otherwise(1)).when(other >= few, 1).when(own == other, 2).when(own < other, 1).otherwise(0)
+    low, high = F.when(other >= few, own).otherwise(F.least(own, other)), F.when(other >= few, other).otherwise(F.greatest(own, other))
+    return largest.select(*rows.columns, "bi", (own + few).alias("bj"), F.lit(0).alias("side")).union(rest.select(*rows.columns, low, high, side))
+
+
+def _candidate_rows(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows of ``_units`` that have a candidate there, a written table. Only sizes and sketches are sent around for this."""
+    known = rows.join(_of(nodes.select("node", "sketch", "bands"), rows), "node")
+    return written(_by_unit(_units(known), _live, "key long, bi int, bj int, side int, band int, node binary, component binary"), "live")
+
+
+def _of(values: DataFrame, rows: DataFrame) -> DataFrame:
+    """``values`` of the nodes in the written table ``rows``, and a few others; nothing is shuffled. A join has to follow."""
+    return maybe_wanted(values, F.xxhash64("node"), rows.select(F.xxhash64("node").alias("key")), "hit").where("hit").drop("hit")
+
+
+def _compared(live: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b), a written table of the links between different components in the units of ``live``."""
+    full = _of(nodes.select("node", "n_shingles", "sketch", "bands"), live).join(_of(sets, live), "node")
+    return written(_by_unit(live.join(full, "node"), _linked_in, "a binary, b binary"), "links")
 
 
-def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def _links(nodes: DataFrame, docs: DataFrame, repeated: bool) -> DataFrame:
     """(a, b), a written table of links that join all nodes of a group."""
     members = _buckets(nodes)
     pairs = members.where("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.max("m").alias("m"))
@@ -304,19 +361,15 @@ def _links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     pairs = written(
         _with_leader(pairs.join(size.toDF("a", "na", "sa"), "a"), size.toDF("b", "nb", "sb"))
         .where(_sizes_allow("na", "nb") & (_xor_count("sa", "sb") <= MOST_XOR)).select("a", "b", "m"), "pairs")
-    sets = _full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), nodes, docs)
-    links = written(_verified(pairs, sets), "links")
+    sets = _full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), nodes, docs, repeated)
+    every = written(_verified(pairs, sets), "links")
     delete(pairs)
-    component = components(links)
-    rows = written(_open_buckets(members, component, 3), "open")
-    lacking = written(rows.select("node").distinct().join(sets, "node", "left_anti"), "lacking")
-    if lacking.limit(1).count():
-        sets = sets.unionByName(_full_sets(lacking, nodes, docs)).dropDuplicates(["node"])
-    inside = written(_compared(rows, nodes, sets, False), "links")
-    every = links.union(inside)
-    if rows.where(F.col("m") > BLOCK).limit(1).count():  # what the blocks themselves have joined needs no look across
-        rows = written(_open_buckets(rows, components(every), BLOCK + 1), "open")
-        every = every.union(written(_compared(rows, nodes, sets, True), "links"))
+    live = _candidate_rows(written(_open_buckets(members, components(every)), "open"), nodes)
+    if live.limit(1).count():
+        lacking = written(live.select("node").distinct().join(sets, "node", "left_anti"), "lacking")
+        if lacking.limit(1).count():
+            sets = sets.unionByName(_full_sets(lacking, nodes, docs, repeated).join(lacking, "node", "left_semi"))
+        every = every.union(_compared(live, nodes, sets))
     delete(members)
     return every
 
@@ -330,7 +383,8 @@ def _groups(docs: DataFrame) -> DataFrame:
             F.min("doc_id").alias("doc_id"), F.min(F.xxhash64("doc_id", "text_key")).alias("rep"), F.count("*").alias("copies"),
             F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
         "nodes")
-    found = components(_links(nodes, docs))
+    repeated = signed.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count() > 0
+    found = components(_links(nodes, docs, repeated))
     least = nodes.select("node", "doc_id").join(found, "node").groupBy("component").agg(F.min("doc_id").alias("least"))
     groups = (
         nodes.select("node", "doc_id", "copies").join(found, "node", "left").join(least, "component", "left").where("copies > 1 or component is not null")
@@ -356,20 +410,14 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs``, with all its columns, with one row of each group: of the smallest id (nulls last) and, of equal ids, the
     smallest hash of the text. Repeated rows of it are one. Texts without words all stay.
 
-    Which rows go is worked out on their keys. A bitmap of those keys tells rows that surely stay, a second one rows
-    that surely go; only the few rows that both leave open are shuffled, to be looked up. Names of any columns may be
-    taken: helping columns get free ones.
+    Which rows go is worked out on their keys; the rows themselves are not shuffled (see ``without``). Any names of
+    further columns may be taken.
     """
     marks = written(_groups(docs).where("group is not null").withColumn("key", F.xxhash64("doc_id", "text_key")), "marks")
     first = marks.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "key")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
     judged = marks.select("group", "key").join(first.select("group", F.col("first.key").alias("first")), "group", "left").groupBy("key").agg(
         F.bool_or(F.coalesce(F.col("key") == F.col("first"), F.lit(True))).alias("stays"), F.count("*").alias("rows"))
     judged = written(judged, "judged")
-    touched = written(judged.where("not stays or rows > 1").select("key"), "touched")
-    unsure = written(maybe_wanted(judged.where("stays").select("key"), F.col("key"), touched, "hit").where("hit").select("key"), "unsure")
-    key, maybe, stay = (free_name(docs, x) for x in ("key", "maybe", "stay"))
-    columns = [F.col(quoted(c)) for c in docs.columns]
-    rows = maybe_wanted(docs.withColumn(key, _row_key()), F.col(key), touched, maybe)
-    open_ = maybe_wanted(rows.where(F.col(maybe)), F.col(key), unsure, stay).where(F.col(stay))
-    looked_up = open_.join(unsure.select(F.col("key").alias(stay + "_")), F.col(key) == F.col(stay + "_"), "left_semi").dropDuplicates([key])
-    return rows.where(~F.col(maybe)).select(*columns).union(looked_up.select(*columns))
+    # repeated rows of one that stays are looked up with those that go, and become one
+    surely, looked_up = without(docs, row_key(docs), judged.where("not stays or rows > 1").select("key"), judged.where("stays").select("key"))
+    return surely.union(looked_up.dropDuplicates(["doc_id", "text"]))

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -34,8 +34,10 @@ class OrdinalModel:
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
     thresholds: np.ndarray = field(default_factory=lambda: np.array([20.0, 20.0]))
 
-    def vector(self, words: list[bytes]) -> dict[int, float]:
-        """log(1 + count) of each feature that stands in the document."""
+    def vector(self, words: list[bytes] | dict[bytes, int]) -> dict[int, float]:
+        """log(1 + count) of each feature that stands in the document, of its words or their counts."""
+        if isinstance(words, dict):
+            return {i: float(np.log1p(words[w])) for w, i in self.features.items() if w in words}
         present = self.features.keys() & set(words)
         if not present:
             return {}
@@ -49,7 +51,7 @@ class OrdinalModel:
         return float(p[0]), float(p[1])
 
 
-def choose_features(toxic: list[set], clean: list[set], most: int, least: float = 4.5) -> list[bytes]:
+def choose_features(toxic: list[Iterable[bytes]], clean: list[Iterable[bytes]], most: int, least: float = 4.5) -> list[bytes]:
     """Words that stand in toxic documents more often, by the signed root of the likelihood ratio; those from ``least`` on."""
     a, b = Counter(w for ws in toxic for w in ws), Counter(w for ws in clean for w in ws)
     na, nb = len(toxic), len(clean)
@@ -68,14 +70,17 @@ def choose_features(toxic: list[set], clean: list[set], most: int, least: float
     return [w for s, w in scored if s >= least][:most]
 
 
-def one_of_copies(rows: list[tuple[int, list[bytes]]]) -> list[tuple[int, list[bytes]]]:
-    """One document of each label and set of words, so that copies do not count as evidence."""
-    seen, out = set(), []
+def one_of_copies(rows: Iterable[tuple[int, Iterable[bytes]]]) -> list[tuple[int, dict[bytes, int]]]:
+    """One document of each label and set of words, as counts of its words, so that copies do not count as evidence.
+
+    Equal words of all documents are one object, so the sample takes little more memory than its vocabulary."""
+    seen, words_, out = set(), {}, []
     for label, words in rows:
-        key = (label, hashlib.sha1(b" ".join(sorted(set(words)))).digest())
+        counts = Counter(words)
+        key = (label, hashlib.sha1(b" ".join(sorted(counts))).digest())
         if key not in seen:
             seen.add(key)
-            out.append((label, words))
+            out.append((label, {words_.setdefault(w, w): n for w, n in counts.items()}))
     return out
 
 
@@ -127,9 +132,11 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS, ma
     sizes = rows.join(F.broadcast(drawn), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.octet_length("text").alias("n"), F.xxhash64("text").alias("k"))).alias("t"))
     upto = F.sum("t.n").over(W.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))  # of at most 2 * max_docs rows
     chosen = sizes.withColumn("upto", upto).where(F.col("upto") <= max_bytes).select("doc_id", "toxic", "t.k")
-    got = rows.join(F.broadcast(chosen), "doc_id").where(F.xxhash64("text") == F.col("k")).groupBy("doc_id", "toxic").agg(F.first("text").alias("text")).collect()
-    sets = one_of_copies(sorted(((r.toxic, alnum_words(r.text)) for r in got), key=lambda r: (r[0], r[1])))
-    toxic, clean = [set(w) for t, w in sets if t], [set(w) for t, w in sets if not t]
+    got = rows.join(F.broadcast(chosen), "doc_id").where(F.xxhash64("text") == F.col("k")).groupBy("doc_id", "toxic").agg(F.first("text").alias("text")).toLocalIterator()
+    texts = sorted((r.toxic, r.text) for r in got)
+    sets = one_of_copies((t, alnum_words(x)) for t, x in texts)
+    del texts
+    toxic, clean = [w.keys() for t, w in sets if t], [w.keys() for t, w in sets if not t]
     features = choose_features(toxic, clean, max_features)
     if not features:
         return OrdinalModel()

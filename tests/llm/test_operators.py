@@ -376,9 +376,10 @@ def brute_groups(rows):
     return [(i, len(s), least.get(g)) for (i, _), s, g in zip(rows, sets, group)]
 
 
-@pytest.mark.parametrize("block", [400, 5])
+@pytest.mark.parametrize("block", [2000, 5])
 def test_near_duplicates(docs, monkeypatch, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    monkeypatch.setattr(neardup, "ACROSS", block)
     rows = neardup.near_duplicates(docs).collect()
     key = lambda r: tuple(str(x) for x in r)
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in rows), key=key) == sorted(brute_groups(TEXTS), key=key)
