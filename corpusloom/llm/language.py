@@ -25,16 +25,23 @@ MAX_TRAIN_DOCS, MAX_TRAIN_WINDOWS, MAX_TRAIN_BYTES = 1500, 3000, 64 << 20
 MAX_LANGUAGES = 1000
 
 
+_OTHER = re.compile(r"[\W\d_]+")
+
+
 @functools.cache
-def _other() -> re.Pattern:
-    """Runs of what is no letter (general category L): a word character may also be a number like ``½``, ``²`` or ``Ⅷ``."""
-    numbers = "".join(c for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c) in ("Nl", "No"))
-    return re.compile(rf"[\W\d_{numbers}]+")
+def _numbers() -> frozenset[str]:
+    """Word characters that are numbers and no digits, like ``½``, ``²`` or ``Ⅷ``."""
+    return frozenset(c for c in map(chr, range(0x80, 0x20000)) if unicodedata.category(c) in ("Nl", "No"))
 
 
 def letters_of(text: str | None) -> bytes:
-    """The letters of a whole text, lower-cased, with one blank for anything between; empty if it has no letter."""
-    return _other().sub(" ", text.lower()).strip().encode("utf-8", "replace") if text else b""
+    """The letters (general category L) of a whole text, lower-cased, with one blank for anything between; empty if it has none."""
+    if not text:
+        return b""
+    out = _OTHER.sub(" ", text.lower())
+    if not out.isascii() and (found := _numbers().intersection(out)):
+        out = _OTHER.sub(" ", out.translate(dict.fromkeys(map(ord, found), " ")))
+    return out.strip().encode("utf-8", "replace")
 
 
 def windows_of(data: bytes, window: int = WINDOW) -> np.ndarray:
