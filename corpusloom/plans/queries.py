@@ -214,7 +214,7 @@ filled AS (SELECT doc_id, l, num, list_reduce(list_prepend({{'used': 0::BIGINT,
     lambda a, x: CASE WHEN a.used + x.used <= {tokens} THEN {{'used': a.used + x.used, 'ids': list_concat(a.ids, x.ids)}} ELSE a END) AS f FROM listed),
 d AS (SELECT doc_id, text, coalesce({n('text')}, 0) AS tokens FROM documents),
 o AS (SELECT doc_id, text, tokens, coalesce(num, 0) AS num, CASE WHEN num > 0 THEN list_sort(f.ids) END AS ids, CASE WHEN num > 0 THEN l END AS l, f.used FROM d LEFT JOIN filled USING (doc_id)),
-q AS (SELECT *, CASE WHEN num > 0 AND tokens > {tokens} AND len(ids) = 0 THEN regexp_extract(l[1].sent, '^[\s]*(?:{fx.NOT_SPACE}+{SPACE}+){{0,{tokens - 1}}}{fx.NOT_SPACE}+') END AS cut FROM o)
+q AS (SELECT *, CASE WHEN num > 0 AND tokens > {tokens} AND len(ids) = 0 THEN regexp_extract(l[1].sent, '^[\\s]*(?:{fx.NOT_SPACE}+{SPACE}+){{0,{tokens - 1}}}{fx.NOT_SPACE}+') END AS cut FROM o)
 SELECT doc_id, num AS num_sentences, num > 0 AND tokens > {tokens} AS was_filtered, cut IS NOT NULL AS was_truncated,
     CASE WHEN num = 0 THEN []::INT[] WHEN tokens <= {tokens} THEN range(num)::INT[] WHEN cut IS NOT NULL THEN [l[1].pos] ELSE ids END AS selected_sentence_ids,
     CASE WHEN num = 0 THEN 0 WHEN tokens <= {tokens} THEN tokens WHEN cut IS NOT NULL THEN {tokens} ELSE used END::INT AS input_tokens,
