@@ -338,8 +338,9 @@ def _units(rows: DataFrame) -> DataFrame:
 
 def _candidate_rows(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """The rows of ``_units`` that have a candidate there, a written table. Only sizes and sketches are sent around for this."""
-    known = rows.join(_of(nodes.select("node", "sketch", "bands"), rows), "node")
-    return written(_by_unit(_units(known), _live, "key long, bi int, bj int, side int, band int, node binary, component binary"), "live")
+    # units are made of thin rows, which are used three times there, and meet their sketches once, behind that
+    known = _units(rows).join(_of(nodes.select("node", "sketch", "bands"), rows), "node")
+    return written(_by_unit(known, _live, "key long, bi int, bj int, side int, band int, node binary, component binary"), "live")
 
 
 def _of(values: DataFrame, rows: DataFrame) -> DataFrame:
